@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, htmltext, langid, license, toxicity, urlfilter
+from . import audio, decontam, htmltext, langid, license, mixing, simhash, substring, toxicity, urlfilter
 from ._spark import table
 
 
@@ -13,6 +13,10 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(clips, ["conv_id", "turn"])
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(table(spark, sf_dir, "documents"))
 
@@ -21,10 +25,22 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.default_rules(spark))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flag_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +49,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_html(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op3_language_id, op4_url_filters, op7_license_scan, op9_toxicity, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op2_simhash_near_dedup, op3_language_id, op4_url_filters, op5_source_mixing, op6_substring_dedup, op7_license_scan, op8_benchmark_decontamination, op9_toxicity, op10_html_text)}
 
 _RULES = ", ".join(f"({i}, '{p}', '{a}')" for i, p, a in urlfilter.RULES)
 
