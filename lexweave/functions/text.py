@@ -12,7 +12,6 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,25 +51,24 @@ class TextNorm:
         return replace(self, **changes)
 
 
-def unicode_form(text: Column, form: str) -> Column:
-    """``text`` in a Unicode normal form."""
+def _each(text: Column, change) -> Column:
+    """``change`` for each text that isn't plain ASCII, in Arrow batches."""
 
     @F.arrow_udf("string")
     def run(t: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(t, form)
+        return pa.array([x if x is None or x.isascii() else change(x) for x in t.to_pylist()], pa.string())
 
     return run(text)
 
 
-def without_marks(text: Column, form: str | None = "NFC") -> Column:
-    """``text`` without combining marks, in ``form``."""
+def unicode_form(text: Column, form: str) -> Column:
+    """``text`` in a Unicode normal form."""
+    return _each(text, lambda x: unicodedata.normalize(form, x))
 
-    @F.arrow_udf("string")
-    def run(t: pa.Array) -> pa.Array:
-        bare = pc.replace_substring_regex(pc.utf8_normalize(t, "NFD"), r"\p{Mn}+", "")
-        return pc.utf8_normalize(bare, form or "NFC")
 
-    return run(text)
+def without_marks(text: Column, form: str | None = "NFC") -> Column:
+    """``text`` without combining marks, in ``form``."""
+    return _each(text, lambda x: strip_diacritics(x, form or "NFC"))
 
 
 def strip_diacritics(word: str, target_form: str = "NFC") -> str:

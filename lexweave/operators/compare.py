@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.agg import correlation
 from ..result import metric_columns
 
 BANDS = (("rare", 0, 5), ("mid", 6, 20), ("high", 21, None))
@@ -44,7 +45,7 @@ def _long(row: DataFrame, pairs: list[tuple[str, str]], names: Sequence[str]) ->
 def spearman(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``Metric1, Metric2, Spearman`` of all pairs, each with itself too; null where a measure is constant."""
     pairs = list(combinations_with_replacement(metrics, 2))
-    row = average_ranks(scores, metrics).agg(*[F.corr(f"r_{a}", f"r_{b}").alias(f"Spearman{i}") for i, (a, b) in enumerate(pairs)])
+    row = average_ranks(scores, metrics).agg(*[correlation(f"r_{a}", f"r_{b}").alias(f"Spearman{i}") for i, (a, b) in enumerate(pairs)])
     return _long(row, pairs, ["Spearman"])
 
 
@@ -87,7 +88,7 @@ def band_correlations(scores: DataFrame, metrics: Sequence[str], bands: Sequence
     """``Band, Pair, Spearman, N``: correlation of the ranks in the whole table, within each band of frequency; null below two rows."""
     pairs = list(combinations(metrics, 2))
     r = average_ranks(scores, metrics).withColumn("Band", band_of(F.col("Frequency"), bands)).filter("Band is not null")
-    row = r.groupBy("Band").agg(F.count("*").alias("N"), *[F.corr(f"r_{a}", f"r_{b}").alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    row = r.groupBy("Band").agg(F.count("*").alias("N"), *[correlation(f"r_{a}", f"r_{b}").alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
     parts = [F.struct(F.lit(f"{a}-{b}").alias("Pair"), F.when(F.col("N") >= 2, F.col(f"s{i}")).alias("Spearman")) for i, (a, b) in enumerate(pairs)]
     return row.select("Band", "N", F.inline(F.array(*parts))).select("Band", "Pair", "Spearman", "N")
 

@@ -65,14 +65,14 @@ def window_comparison(corpus: Corpus, node: str, metric: str, windows: Iterable[
     return out
 
 
-def shared_contexts(corpus: Corpus, nodes: Iterable[str], windowsize: int = 5, minfreq: int = 5) -> DataFrame:
-    """``Node1, Node2, Shared, Jaccard, Cosine`` of nodes by their collocates of positive PPMI."""
-    scores = corpus.contingency(nodes, windowsize, minfreq).score("PPMI").filter("PPMI > 0")
-    size = scores.groupBy("Node").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("PPMI") * F.col("PPMI"))).alias("len"))
+def shared_contexts(corpus: Corpus, nodes: Iterable[str], metric: str = "PPMI", windowsize: int = 5, minfreq: int = 5) -> DataFrame:
+    """``Node1, Node2, Shared, Jaccard, Cosine`` of nodes by their collocates of positive score."""
+    scores = corpus.contingency(nodes, windowsize, minfreq).score(metric).withColumn("s", F.col(metric)).filter("s > 0")
+    size = scores.groupBy("Node").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("len"))
     full = scores.join(F.broadcast(size), "Node")  # a row a node, which the caller lists
     x, y = full.alias("x"), full.alias("y")
     both = x.join(y, (F.col("x.Collocate") == F.col("y.Collocate")) & (F.col("x.Node") < F.col("y.Node")))
-    got = both.groupBy(F.col("x.Node").alias("Node1"), F.col("y.Node").alias("Node2"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), F.col("x.len").alias("l1"), F.col("y.len").alias("l2")).agg(F.count("*").alias("Shared"), F.sum(F.col("x.PPMI") * F.col("y.PPMI")).alias("dot"))
+    got = both.groupBy(F.col("x.Node").alias("Node1"), F.col("y.Node").alias("Node2"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), F.col("x.len").alias("l1"), F.col("y.len").alias("l2")).agg(F.count("*").alias("Shared"), F.sum(F.col("x.s") * F.col("y.s")).alias("dot"))
     return got.select("Node1", "Node2", "Shared", (F.col("Shared") / (F.col("n1") + F.col("n2") - F.col("Shared"))).alias("Jaccard"), (F.col("dot") / (F.col("l1") * F.col("l2"))).alias("Cosine"))
 
 

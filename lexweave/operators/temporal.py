@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
+from ..functions.agg import correlation
 
 
 @dataclass
@@ -78,7 +79,7 @@ def trends(scores: DataFrame, metric: str) -> DataFrame:
     """``Node, Collocate, Correlation, Slope, MeanScore, StdScore, NumPeriods`` of pairs with two periods at least; time is the number of the period among those present."""
     pair = Window.partitionBy("Node", "Collocate").orderBy("Period")
     x = scores.withColumn("x", F.row_number().over(pair).cast("double")).withColumn("y", F.col(metric))
-    got = x.groupBy("Node", "Collocate").agg(F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("s"), F.avg("y").alias("MeanScore"), F.stddev_samp("y").alias("sd"), F.count("*").alias("NumPeriods")).filter("NumPeriods > 1")
+    got = x.groupBy("Node", "Collocate").agg(correlation("x", "y").alias("r"), F.regr_slope("y", "x").alias("s"), F.avg("y").alias("MeanScore"), F.stddev_samp("y").alias("sd"), F.count("*").alias("NumPeriods")).filter("NumPeriods > 1")
     flat = F.col("sd") < 1e-10
     return got.select("Node", "Collocate", F.when(flat, 0.0).otherwise(F.col("r")).alias("Correlation"), F.when(flat, 0.0).otherwise(F.col("s")).alias("Slope"), "MeanScore", F.when(flat, 0.0).otherwise(F.col("sd")).alias("StdScore"), "NumPeriods")
 

@@ -426,6 +426,6 @@ def significance_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.significance(tidied(corpus(spark, sf_dir).contingency("the", 5, 5).score(_SIG)))
 
 
-@query(S.contingency(NODES, 5, 5) + f", s AS (SELECT \"Node\", \"Collocate\", {S.METRIC_SQL['PPMI']} AS p FROM dbl), q AS (SELECT * FROM s WHERE p > 0), z AS (SELECT \"Node\", count(*) AS n, sqrt(sum(p * p)) AS l FROM q GROUP BY 1), j AS (SELECT x.\"Node\" AS n1, y.\"Node\" AS n2, count(*) AS k, sum(x.p * y.p) AS dot FROM q x JOIN q y ON x.\"Collocate\" = y.\"Collocate\" AND x.\"Node\" < y.\"Node\" GROUP BY ALL), w AS (SELECT n1, n2, k, k::DOUBLE / (a.n + b.n - k) AS ja, dot / (a.l * b.l) AS co FROM j JOIN z a ON a.\"Node\" = n1 JOIN z b ON b.\"Node\" = n2) SELECT n1 AS \"Node1\", n2 AS \"Node2\", k AS \"Shared\", {S.tidy('ja')} AS \"Jaccard\", {S.tidy('co')} AS \"Cosine\" FROM w")
+@query(S.contingency(NODES, 5, 5) + f", s AS (SELECT \"Node\", \"Collocate\", {S.METRIC_SQL['LogDice']} AS p FROM dbl), q AS (SELECT * FROM s WHERE p > 0), z AS (SELECT \"Node\", count(*) AS n, sqrt(sum(p * p)) AS l FROM q GROUP BY 1), j AS (SELECT x.\"Node\" AS n1, y.\"Node\" AS n2, count(*) AS k, sum(x.p * y.p) AS dot FROM q x JOIN q y ON x.\"Collocate\" = y.\"Collocate\" AND x.\"Node\" < y.\"Node\" GROUP BY ALL), w AS (SELECT n1, n2, k, k::DOUBLE / (a.n + b.n - k) AS ja, dot / (a.l * b.l) AS co FROM j JOIN z a ON a.\"Node\" = n1 JOIN z b ON b.\"Node\" = n2) SELECT n1 AS \"Node1\", n2 AS \"Node2\", k AS \"Shared\", {S.tidy('ja')} AS \"Jaccard\", {S.tidy('co')} AS \"Cosine\" FROM w")
 def shared_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidied(recipes.shared_contexts(corpus(spark, sf_dir), NODES))
+    return tidied(recipes.shared_contexts(corpus(spark, sf_dir), NODES, "LogDice"))

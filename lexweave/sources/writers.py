@@ -24,7 +24,7 @@ def _rows_to_csv(df: DataFrame, path: Path, sep: str = ",", header: Iterable[str
     with path.open("w", newline="", encoding="utf-8") as f:
         for line in header:
             f.write(line + "\n")
-        out = csv.writer(f, delimiter=sep)
+        out = csv.writer(f, delimiter=sep, lineterminator="\n")
         out.writerow(df.columns)
         for row in df.toLocalIterator():
             out.writerow(["" if x is None else x for x in row])
