@@ -89,6 +89,7 @@ class Index:
         self.templates = [(name, words_of(text), [words_of(p) for p in phrases]) for name, text, phrases in templates]
         self.length = np.array([len(t[1]) for t in self.templates])
         self.phrases = [[np.array([stable_hash(x) for x in p], np.uint64) for p in t[2]] for t in self.templates]
+        self.phrase_at = [[next((i for i in range(len(t[1])) if t[1][i : i + len(p)] == p), 0) for p in t[2]] for t in self.templates]
         rows = []
         for i, (_, words, _) in enumerate(self.templates):
             idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in words}
@@ -120,7 +121,7 @@ class Index:
                     j += 1
                 if len({x for _, x in v[i : j + 1]}) >= need:
                     a, b = max(0, v[i][0] - slack), min(len(h), v[j][0] + int(self.length[t]) + slack)
-                    spans = [self.phrase(h[a:b], p) for p in self.phrases[t]]
+                    spans = [self.phrase(h[a:b], p, v[i][0] - a + at) for p, at in zip(self.phrases[t], self.phrase_at[t], strict=True)]
                     if all(spans):
                         first = a + min(s[0] for s in spans)
                         last = a + max(s[1] for s in spans)
@@ -138,11 +139,15 @@ class Index:
         return sorted(taken, key=lambda f: f[1])
 
     @staticmethod
-    def phrase(h: np.ndarray, p: np.ndarray) -> tuple[int, int] | None:
+    def phrase(h: np.ndarray, p: np.ndarray, near: int) -> tuple[int, int] | None:
+        """Where the phrase stands, nearest to the place that the template gives it."""
         if len(h) < len(p):
             return None
         at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(h, len(p)) == p).all(axis=1))
-        return (int(at[0]), int(at[0]) + len(p)) if len(at) else None
+        if not len(at):
+            return None
+        best = int(at[np.argmin(np.abs(at - near))])
+        return best, best + len(p)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple] = TEMPLATES, text: str = "text", rare: int = RARE, least: int = LEAST, slack: int = SLACK) -> DataFrame:
