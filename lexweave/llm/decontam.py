@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import find_words, slices
+from ._text import Words, find_words, slices
 
 BITS, RANK, OVER, PASSAGE, COSINE, LCS, ANSWER, SURE, LEAST, CHUNK, SEED = 16, 64, 16, 64, 0.5, 0.65, 0.5, 0.85, 5, 2000, 5
 
@@ -61,6 +61,12 @@ class Items:
         self.terms = np.unique(self.vocab >> np.uint64(64 - bits), return_inverse=True)
         self.term_of = self.terms[1].astype(np.int64)
         self.n_terms = len(self.terms[0])
+        self.sizes = np.array([len(x) for x in self.words], np.int64)
+        self.longest = int(self.sizes.max()) if self.words else 0
+        term = self.term_of[np.searchsorted(self.vocab, np.concatenate(self.words))] if self.words else np.zeros(0, np.int64)
+        pairs, self.times = np.unique(term * len(self.ids) + np.repeat(np.arange(len(self.ids)), self.sizes), return_counts=True)
+        self.holders = pairs % max(1, len(self.ids))  # items of each term, and how often they have it
+        self.from_term = np.searchsorted(pairs // max(1, len(self.ids)), np.arange(self.n_terms + 1))
         self.masks = []
         for h in self.words:
             m: dict[int, int] = {}
@@ -74,6 +80,32 @@ class Items:
         hit = np.flatnonzero(self.vocab[at] == h)
         return hit, self.term_of[at[hit]]
 
+    def overlap(self, half: np.ndarray, term: np.ndarray, n_halves: int, least: float):
+        """What bounds the words that an item shares with a range of halves.
+
+        The terms most frequent here are taken as present.  Of the others, the
+        first result gives, for halves base..top - 1, running sums by half and
+        item; the second is the sum that an item needs for a share of ``least``.
+        """
+        often = np.bincount(term, minlength=self.n_terms)
+        common = np.zeros(self.n_terms, bool)
+        common[np.argsort(-often, kind="stable")[:COMMON]] = True
+        of = np.repeat(np.arange(self.n_terms), np.diff(self.from_term))
+        free = np.bincount(self.holders, self.times * common[of], minlength=len(self.ids))
+        rare = np.flatnonzero(~common[term])
+        half, term = half[rare], term[rare]
+        size = self.from_term[term + 1] - self.from_term[term]
+        at = np.repeat(self.from_term[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(term) else np.zeros(0, np.int64)
+        half, item, times = np.repeat(half, size), self.holders[at], self.times[at]
+        width = len(self.ids)
+
+        def near(base: int, top: int) -> np.ndarray:
+            s, e = np.searchsorted(half, base), np.searchsorted(half, top)
+            sums = np.bincount((half[s:e] - base + 1) * width + item[s:e], times[s:e], minlength=(top - base + 1) * width)
+            return np.cumsum(sums.astype(np.int32).reshape(-1, width), axis=0, dtype=np.int32)
+
+        return near, np.ceil(least * self.sizes - 1e-9) - free
+
     def matched(self, i: int, region: list[int]) -> int:
         """Bits of the words of item ``i`` that a longest common subsequence with ``region`` uses up (Hyyroe's bit vectors)."""
         mask = self.masks[i]
@@ -94,23 +126,50 @@ def half_passages(off: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[0], np.cumsum(n)]), np.repeat(np.arange(len(off) - 1), n)
 
 
-def sparse(items: Items, w, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sparse(items: Items, w: Words, passage: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(half, term, count) of the words that items have, sorted; the first half of each document; the document of each half."""
     first, owner = half_passages(w.off, passage)
-    hit, term = items.find(w.hashes())
-    doc = np.searchsorted(w.off, hit, side="right") - 1
+    hit, term = items.find(w.hashes() if h is None else h)
+    doc = w.doc_of()[hit]
     half = first[doc] + (hit - w.off[doc]) // (passage // 2)
     pairs, count = np.unique(half * items.n_terms + term, return_counts=True)
     return pairs // items.n_terms, pairs % items.n_terms, count, first, owner
 
 
-def add_rows(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by ``row`` (sorted), as n rows."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(row):
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[cut]] = np.add.reduceat(values, cut, axis=0)
-    return out
+DENSE, COMMON, CHUNK_ROWS = 256, 64, 2048
+
+
+class Sparse:
+    """A matrix of halves by terms: the ``DENSE`` terms with most entries as columns of a dense block, which BLAS multiplies, the others as (row, term, value)."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        often = np.bincount(term, minlength=shape[1])
+        self.top = np.sort(np.argpartition(-often, DENSE)[:DENSE]) if shape[1] > DENSE else np.arange(shape[1])
+        place = np.full(shape[1], -1)
+        place[self.top] = np.arange(len(self.top))
+        at = place[term]
+        dense = at >= 0
+        self.block = np.zeros((shape[0], len(self.top)), np.float32)
+        self.block[row[dense], at[dense]] = value[dense]
+        self.row, self.term, self.value = row[~dense], term[~dense], value[~dense].astype(np.float32)[:, None]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        out = self.block @ m[self.top]
+        cut = np.flatnonzero(np.diff(self.row, prepend=-1))
+        if len(cut):
+            out[self.row[cut]] += np.add.reduceat(self.value * m[self.term], cut, axis=0)
+        return out
+
+    def transposed_times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], m.shape[1]), np.float32)
+        out[self.top] = self.block.T @ m
+        order = np.argsort(self.term.astype(np.uint32), kind="stable")
+        t = self.term[order]
+        cut = np.flatnonzero(np.diff(t, prepend=-1))
+        if len(cut):
+            out[t[cut]] += np.add.reduceat(self.value[order] * m[self.row[order]], cut, axis=0)
+        return out
 
 
 def _frequencies(items: Items, passage: int):
@@ -139,10 +198,8 @@ def _sketch(items: Items, idf: np.ndarray, k: int, seed: int, passage: int):
             half, term, count, _, owner = sparse(items, find_words(b.column("text"), lower=True), passage)
             if not len(half):
                 continue
-            x = (count * idf[term]).astype(np.float32)[:, None]
-            p = add_rows(half, x * g[term], len(owner))
-            order = np.argsort(term, kind="stable")
-            total += add_rows(term[order], x[order] * p[half[order]], items.n_terms)
+            a = Sparse(half, term, count * idf[term], (len(owner), items.n_terms))
+            total += a.transposed_times(a.times(g))
         used = np.flatnonzero(total.any(axis=1))
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * k), pa.array(total[used].astype(np.float32).ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), rows], ["term", "y"])
@@ -168,7 +225,7 @@ def _summed(k: int):
 
 def singular_vectors(y: np.ndarray, g: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors of A from Y = A'A G (Nystroem)."""
-    scale = np.sqrt(np.finfo(np.float32).eps) * np.linalg.norm(y)
+    scale = np.sqrt(len(y)) * np.finfo(np.float32).eps * np.linalg.norm(y)  # the products are summed from single precision
     if scale == 0:
         return np.zeros((len(y), 1), np.float32)
     shifted = y + scale * g
@@ -214,38 +271,47 @@ def train(docs: DataFrame, rows: list[tuple], bits: int = BITS, rank: int = RANK
 
 
 def search(model: Model, texts: pa.Array, passage: int, cosine: float, lcs: float, answer: float, sure: float) -> list[tuple[int, int, int, int, float, float]]:
-    """(text, item, first word, end word, cosine, share of the item in order) of each text and item that match."""
+    """(text, item, first word, end word, cosine, share of the item in order) of each text and item that match.
+
+    A candidate goes to the subsequence only if enough of the item's words
+    stand near the passage at all, which bounds the subsequence from above.
+    """
     items = model.items
     w = find_words(texts, lower=True)
     h = w.hashes()
-    first, owner = half_passages(w.off, passage)
-    hit, term = items.find(h)
-    if not len(hit):
+    half, term, count, first, owner = sparse(items, w, passage, h)
+    if not len(half):
         return []
-    doc = np.searchsorted(w.off, hit, side="right") - 1
-    half = first[doc] + (hit - w.off[doc]) // (passage // 2)
-    x = np.zeros((len(owner) + 1, model.space.shape[1]), np.float32)
-    for i in range(0, len(hit), 1 << 16):  # words of a half may be parted between steps
-        s = slice(i, i + (1 << 16))
-        cut = np.flatnonzero(np.diff(half[s], prepend=-1))
-        x[half[s][cut]] += np.add.reduceat(model.space[term[s]], cut, axis=0)
-    whole = x[:-1] + np.where(np.append(owner[1:] == owner[:-1], False)[:, None], x[1:], 0)
+    x = Sparse(half, term, count, (len(owner), items.n_terms)).times(model.space)
+    whole = x
+    whole[:-1] += np.where((owner[1:] == owner[:-1])[:, None], x[1:], 0)
     whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
     best: dict[tuple[int, int], tuple] = {}
-    for i in range(0, len(whole), 4096):
-        sim = whole[i : i + 4096] @ model.q.T
-        for p, q in np.argwhere(sim >= cosine).tolist():
-            d = int(owner[i + p])
-            n = len(items.words[q])
-            a = max(int(w.off[d]), int(w.off[d]) + (i + p - int(first[d])) * (passage // 2) - n)
-            b = min(int(w.off[d + 1]), a + passage + 2 * n)
-            used = items.matched(q, h[a:b].tolist())
-            share = used.bit_count() / n
-            of_answer = (used >> items.answer_from[q]).bit_count() / (n - items.answer_from[q])
+    least = min(lcs, sure)
+    step = passage // 2
+    reach = -(-items.longest // step)
+    near, need = items.overlap(half, term, len(owner), least)
+    lo_doc, hi_doc = first[owner], first[owner + 1]
+    for i in range(0, len(whole), CHUNK_ROWS):
+        sim = whole[i : i + CHUNK_ROWS] @ model.q.T
+        base, top = max(0, i - reach), min(len(whole), i + CHUNK_ROWS + 2 * reach + 2)
+        total = near(base, top)
+        p, q = np.nonzero(sim >= cosine)
+        n = items.sizes[q]
+        from_, to = np.maximum(lo_doc[i + p], i + p - -(-n // step)) - base, np.minimum(hi_doc[i + p], i + p + 2 - (-2 * n // step)) - base
+        ok = total[to, q] - total[from_, q] >= need[q]
+        for pp, qq in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+            d = int(owner[i + pp])
+            size = len(items.words[qq])
+            a = max(int(w.off[d]), int(w.off[d]) + (i + pp - int(first[d])) * step - size)
+            b = min(int(w.off[d + 1]), a + passage + 2 * size)
+            used = items.matched(qq, h[a:b].tolist())
+            share = used.bit_count() / size
+            of_answer = (used >> items.answer_from[qq]).bit_count() / (size - items.answer_from[qq])
             if share >= sure or share >= lcs and of_answer >= answer:
-                found = (share, float(sim[p, q]), a - int(w.off[d]), b - int(w.off[d]))
-                if (d, q) not in best or found[0] > best[d, q][0]:
-                    best[d, q] = found
+                found = (share, float(sim[pp, qq]), a - int(w.off[d]), b - int(w.off[d]))
+                if (d, qq) not in best or found[0] > best[d, qq][0]:
+                    best[d, qq] = found
     return [(d, q, a, b, c, s) for (d, q), (s, c, a, b) in sorted(best.items())]
 
 
