@@ -121,7 +121,7 @@ def _probe(block: int):
                 if kind == 0:
                     blocks.append(part)
                     continue
-                if index is None:
+                if index is None and blocks:
                     h, d, p = (np.concatenate([x[i] for x in blocks]) for i in range(3))
                     order = np.lexsort((p, d, h))
                     first = order[np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))]
@@ -147,8 +147,8 @@ def _contexts(block: int):
             g, inv = prefix_hash(mix(h ^ np.uint64(0x1F83D9ABFB41BD6B)))
             want = b.column("want")
             cut = np.asarray(want.offsets)
-            flat = want.values
-            start, end = (flat.field(i).to_numpy()[cut[0] : cut[-1]].astype(np.int64) for i in range(2))
+            flat = want.values.slice(cut[0], cut[-1] - cut[0])
+            start, end = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
             doc = np.repeat(np.arange(b.num_rows), np.diff(cut))
             lo, hi = w.off[doc], w.off[doc + 1]
             digest = span_hash(g, inv, np.minimum(lo + start, hi), np.minimum(lo + end, hi))
@@ -161,7 +161,7 @@ def _contexts(block: int):
 
             left = lists(n_left, lambda step, n: np.repeat(lo + start, n) - 1 - step)  # noqa: B023
             right = lists(n_right, lambda step, n: np.repeat(lo + end, n) + step)  # noqa: B023
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest.view(np.int64)), left, right], ["doc", "s", "e", "digest", "before", "after"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), flat.field(2), flat.field(3), pa.array(digest.view(np.int64)), left, right], ["doc", "s", "e", "ref", "shift", "digest", "before", "after"])
 
     return run
 
@@ -173,30 +173,41 @@ def _common(a: Column, b: Column) -> Column:
 
 
 
+def _first_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of each document: of rows that repeat a doc_id the first by text.  Only doc_ids are exchanged where none repeats."""
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    twice = rows.groupBy("doc_id").count().filter("count > 1")
+    return rows if twice.isEmpty() else rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, parts: int | None = None) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, ref_doc_id, ref_start_word, stretch_start, stretch_end`` of each repeat."""
     parts = parts or partitions(docs.sparkSession)
-    rows = docs.filter("doc_id is not null and text is not null")
-    packed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_emit(parts, block), "bucket int, kind int, docs binary, packed binary")
+    rows = _first_rows(docs)
+    packed = rows.mapInArrow(_emit(parts, block), "bucket int, kind int, docs binary, packed binary")
     hits = packed.repartitionById(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_probe(block), "doc long, pos int, ref long, rpos int")
 
+    # all windows below are within a document: one exchange by doc serves them
     line = Window.partitionBy("doc", "ref", "shift").orderBy("pos")
     breaks = F.sum((F.col("pos") - F.lag("pos", 1, -(10**9)).over(line) > block).cast("int")).over(line)
-    runs = hits.distinct().withColumn("shift", F.col("pos") - F.col("rpos")).withColumn("run", breaks).groupBy("doc", "ref", "shift", "run").agg(F.min("pos").alias("s"), (F.max("pos") + block).alias("e"))
+    runs = hits.repartition("doc").withColumn("shift", F.col("pos") - F.col("rpos")).withColumn("run", breaks).groupBy("doc", "ref", "shift", "run").agg(F.min("pos").alias("s"), (F.max("pos") + block).alias("e"))
     runs = materialise(runs.drop("run"))
 
-    own = runs.select("doc", "ref", "shift", "s", "e", F.lit(0).alias("side"), F.col("doc").alias("at"), F.col("s").alias("ws"), F.col("e").alias("we"))
-    theirs = runs.select("doc", "ref", "shift", "s", "e", F.lit(1).alias("side"), F.col("ref").alias("at"), (F.col("s") - F.col("shift")).alias("ws"), (F.col("e") - F.col("shift")).alias("we"))
-    asked = own.unionByName(theirs)
-    wanted = asked.select("at", "ws", "we").distinct().groupBy("at").agg(F.collect_list(F.struct(F.col("ws").alias("s"), F.col("we").alias("e"))).alias("want"))
-    found = _by_document(docs, parts).join(wanted, F.col("doc_id") == F.col("at")).drop("at").mapInArrow(_contexts(block), "doc long, s int, e int, digest long, before array<long>, after array<long>")
-    found = found.select(F.col("doc").alias("at"), F.col("s").alias("ws"), F.col("e").alias("we"), "digest", "before", "after")
-    both = asked.join(found, ["at", "ws", "we"]).groupBy("doc", "ref", "shift", "s", "e").agg(*[F.max(F.when(F.col("side") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("digest", "before", "after")])
-    left, right = _common(F.col("before0"), F.col("before1")), _common(F.col("after0"), F.col("after1"))
-    exact = both.filter("digest0 = digest1").select("doc", "ref", "shift", (F.col("s") - left).alias("s"), "e", right.alias("right"))
+    def contexts(spans: DataFrame) -> DataFrame:
+        wanted = spans.groupBy("at").agg(F.collect_list(F.struct("s", "e", "ref", "shift")).alias("want"))
+        return _by_document(rows, parts).join(wanted, F.col("doc_id") == F.col("at")).drop("at").mapInArrow(_contexts(block), "doc long, s int, e int, ref long, shift int, digest long, before array<long>, after array<long>")
+
+    # a document has few runs of its own; of an anchor each span is asked for once, however many documents repeat it
+    own = contexts(runs.select(F.col("doc").alias("at"), "s", "e", "ref", "shift"))
+    anchors = runs.select(F.col("ref").alias("at"), (F.col("s") - F.col("shift")).alias("s"), (F.col("e") - F.col("shift")).alias("e")).distinct()
+    theirs = contexts(anchors.select("at", "s", "e", F.lit(None).cast("long").alias("ref"), F.lit(0).alias("shift")))
+    theirs = theirs.select(F.col("doc").alias("ref"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("digest").alias("digest1"), F.col("before").alias("before1"), F.col("after").alias("after1"))
+    both = own.withColumns({"rs": F.col("s") - F.col("shift"), "re": F.col("e") - F.col("shift")}).join(theirs, ["ref", "rs", "re"]).filter("digest = digest1")
+    left, right = _common(F.col("before"), F.col("before1")), _common(F.col("after"), F.col("after1"))
+    exact = both.select("doc", "ref", "shift", (F.col("s") - left).alias("s"), "e", right.alias("right"))
     # within one document the anchor ends where the repeat begins
     room = F.when(F.col("doc") == F.col("ref"), F.greatest(F.lit(0), F.col("s") - (F.col("e") - F.col("shift")))).otherwise(F.col("right"))
-    exact = exact.select("doc", "ref", "shift", "s", (F.col("e") + F.least("right", room)).alias("e"))
+    exact = exact.select("doc", "ref", "shift", "s", (F.col("e") + F.least("right", room)).alias("e")).repartition("doc")
 
     def merged(df: DataFrame, keys: list[str], name: str, touch: int) -> DataFrame:
         by = Window.partitionBy(*keys).orderBy("s", "e")
@@ -218,7 +229,14 @@ def cut_repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS,
     """``docs``, with all their columns, without the stretches that repeat earlier text; ``n_chars`` is set anew, and a document of which nothing is left goes."""
     parts = parts or partitions(docs.sparkSession)
     cuts = repeats(docs, block, min_words, parts).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("stretch_start").alias("s"), F.col("stretch_end").alias("e"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
-    joined = _by_document(docs, parts).join(cuts, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    same = F.col("doc_id") == F.col("__id")
+    rows = docs.filter("doc_id is not null and text is not null")
+    twice = rows.groupBy("doc_id").count().filter("count > 1")
+    if not twice.isEmpty():  # the spans are those of the first text
+        first = rows.groupBy("doc_id").agg(F.min("text").alias("__first")).withColumnRenamed("doc_id", "__of")
+        cuts = cuts.join(first, F.col("__id") == F.col("__of")).drop("__of")
+        same = same & (F.col("text") == F.col("__first"))
+    joined = _by_document(docs, parts).join(cuts, same, "left").drop("__id")
     names = docs.columns
     schema = docs.schema
 
