@@ -15,14 +15,13 @@ COVERAGES = (25, 50, 75, 90, 95, 99, 100)
 def frequencies(corpus: Corpus) -> DataFrame:
     """``Token, Frequency, DocFrequency``: how often, and in how many rows of the corpus.
 
-    Each row sums its own tokens first (they stand in one array), so one
-    exchange by token is all that is needed.
+    A row gives each of its tokens, and each different one once more for the
+    document; both are summed in one pass with one exchange by token.
     """
-    toks = corpus.with_tokens("__toks").select("__toks")
-    runs = toks.select(F.explode(F.expr("transform(array_distinct(__toks), w -> named_struct('Token', w, 'n', 0L, 'df', 1L))")).alias("x"))
-    counts = toks.select(F.explode("__toks").alias("Token")).groupBy("Token").agg(F.count("*").alias("n")).select("Token", "n", F.lit(0).cast("long").alias("df"))
-    both = runs.select("x.*").groupBy("Token").agg(F.sum("df").alias("df")).select("Token", F.lit(0).cast("long").alias("n"), "df").unionByName(counts)
-    return both.groupBy("Token").agg(F.sum("n").alias("Frequency"), F.sum("df").alias("DocFrequency"))
+    once = "transform(array_distinct(__toks), w -> named_struct('Token', w, 'n', 0L, 'df', 1L))"
+    each = "transform(__toks, w -> named_struct('Token', w, 'n', 1L, 'df', 0L))"
+    rows = corpus.with_tokens("__toks").select(F.expr(f"inline(concat({once}, {each}))"))
+    return rows.groupBy("Token").agg(F.sum("n").alias("Frequency"), F.sum("df").alias("DocFrequency"))
 
 
 def token_distribution(corpus: Corpus) -> DataFrame:
