@@ -8,8 +8,15 @@ all documents.  A randomised SVD of the whole passage matrix A (Nystroem form
 of Halko, Martinsson and Tropp 2011) needs one pass: each task multiplies its
 rows, A'(A G) with a random G of ``rank`` + ``over`` columns, the products are
 summed, and the driver factors the small result into the right singular
-vectors V.  In their space, each passage is compared with each item, and all
-pairs with a cosine of at least ``cosine`` are candidates.
+vectors V.  The cosine of a passage and an item in their space is reported.
+
+It excludes nothing: a short item fills a part of its passage only, and the
+other words pull the cosine down however exact the copy is.  Candidates are all
+pairs in which enough of the item's words stand near the passage, whatever
+their order, which bounds the subsequence below from above.  So no pair is lost
+that comparing all passages with all items would find, and which pairs are
+found doesn't depend on the vocabulary or on ``cosine``, which is still
+accepted.
 
 A candidate is verified on words: the longest common subsequence of the item
 and the passage with ``len(item)`` words on both sides must have ``lcs`` of the
@@ -18,7 +25,8 @@ but one) a share of ``answer``; or ``sure`` of the item's words.  So items whose
 wording has changed in part are found too.
 
 A benchmark of more than ``chunk`` items is worked off in chunks, a pass each,
-so what is sent to the tasks has a bound.
+so what is sent to the tasks has a bound.  The pairs and their words are the
+same for any ``chunk``; only the reported cosine is that of the chunk's space.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 than ``least`` words are skipped, since they say nothing; of several passages
@@ -83,28 +91,49 @@ class Items:
     def overlap(self, half: np.ndarray, term: np.ndarray, n_halves: int, least: float):
         """What bounds the words that an item shares with a range of halves.
 
-        The terms most frequent here are taken as present.  Of the others, the
-        first result gives, for halves base..top - 1, running sums by half and
-        item; the second is the sum that an item needs for a share of ``least``.
+        The terms most frequent here are looked up as present or not, the others
+        are summed by half.  The result gives, of passages base..top - 1, the
+        (passage, item) whose bound reaches a share of ``least``.
         """
         often = np.bincount(term, minlength=self.n_terms)
-        common = np.zeros(self.n_terms, bool)
-        common[np.argsort(-often, kind="stable")[:COMMON]] = True
-        of = np.repeat(np.arange(self.n_terms), np.diff(self.from_term))
-        free = np.bincount(self.holders, self.times * common[of], minlength=len(self.ids))
-        rare = np.flatnonzero(~common[term])
-        half, term = half[rare], term[rare]
+        place = np.full(self.n_terms, -1)
+        top_terms = np.argsort(-often, kind="stable")[:COMMON]
+        place[top_terms] = np.arange(len(top_terms))
+        width = len(self.ids)
+        times = np.zeros((len(top_terms), width), np.float32)
+        of = np.repeat(place, np.diff(self.from_term))
+        times[of[of >= 0], self.holders[of >= 0]] = self.times[of >= 0]
+        present = np.zeros((n_halves + 1, len(top_terms)), np.int32)
+        is_common = place[term] >= 0
+        present[half[is_common] + 1, place[term[is_common]]] = 1
+        present = np.cumsum(present, axis=0, dtype=np.int32)
+        half, term = half[~is_common], term[~is_common]
         size = self.from_term[term + 1] - self.from_term[term]
         at = np.repeat(self.from_term[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(term) else np.zeros(0, np.int64)
-        half, item, times = np.repeat(half, size), self.holders[at], self.times[at]
-        width = len(self.ids)
-
-        def near(base: int, top: int) -> np.ndarray:
-            s, e = np.searchsorted(half, base), np.searchsorted(half, top)
-            sums = np.bincount((half[s:e] - base + 1) * width + item[s:e], times[s:e], minlength=(top - base + 1) * width)
-            return np.cumsum(sums.astype(np.int32).reshape(-1, width), axis=0, dtype=np.int32)
-
-        return near, np.ceil(least * self.sizes - 1e-9) - free
+        half, item, rare_times = np.repeat(half, size), self.holders[at], self.times[at]
+        need = np.ceil(least * self.sizes - 1e-9).astype(np.float32)
+
+        def near(base: int, top: int, low: int, high: int, step: int, lo_doc: np.ndarray, hi_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s, e = np.searchsorted(half, low), np.searchsorted(half, high)
+            sums = np.bincount((half[s:e] - low + 1) * width + item[s:e], rare_times[s:e], minlength=(high - low + 1) * width)
+            sums = np.cumsum(sums.reshape(-1, width), axis=0).astype(np.float32)
+            reach = -(-self.sizes // step) * (1 << 20) + -(-2 * self.sizes // step)
+            p = np.arange(base, top)
+            rows, cols = [], []
+            for c in np.unique(reach):  # items of like length have the same range
+                mine = np.flatnonzero(reach == c)
+                from_, to = np.maximum(lo_doc[base:top], p - (c >> 20)), np.minimum(hi_doc[base:top], p + 2 + (c & (1 << 20) - 1))
+                part = sums[:, mine]
+                bound = part[to - low] - part[from_ - low]
+                bound += (present[to] > present[from_]).astype(np.float32) @ times[:, mine]
+                r, k = np.nonzero(bound >= need[mine])
+                rows.append(r)
+                cols.append(mine[k])
+            rows, cols = np.concatenate(rows), np.concatenate(cols)
+            order = np.lexsort((cols, rows))
+            return rows[order] + base, cols[order]
+
+        return near
 
     def matched(self, i: int, region: list[int]) -> int:
         """Bits of the words of item ``i`` that a longest common subsequence with ``region`` uses up (Hyyroe's bit vectors)."""
@@ -250,6 +279,20 @@ class Model:
             q[i] = self.space[term].sum(axis=0)
         self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
+    def cosines(self, at: np.ndarray, item: np.ndarray, half: np.ndarray, term: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Cosine of each item and the passage whose first half is ``at``, in the latent space."""
+        second = np.minimum(at + 1, len(owner) - 1)
+        follows = (second > at) & (owner[second] == owner[at])
+        used = np.unique(np.concatenate([at, second[follows]]))
+        place = np.full(len(owner), -1)
+        place[used] = np.arange(len(used))
+        mine = place[half] >= 0
+        x = Sparse(place[half[mine]], term[mine], count[mine], (len(used), self.items.n_terms)).times(self.space)
+        whole = x[place[at]]
+        whole[follows] += x[place[second[follows]]]
+        whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
+        return (whole * self.q[item]).sum(axis=1)
+
 
 def train(docs: DataFrame, rows: list[tuple], bits: int = BITS, rank: int = RANK, over: int = OVER, passage: int = PASSAGE, least: int = LEAST, seed: int = SEED) -> Model | None:
     """The latent space of all passages of ``docs`` over the terms of the items."""
@@ -273,8 +316,9 @@ def train(docs: DataFrame, rows: list[tuple], bits: int = BITS, rank: int = RANK
 def search(model: Model, texts: pa.Array, passage: int, cosine: float, lcs: float, answer: float, sure: float) -> list[tuple[int, int, int, int, float, float]]:
     """(text, item, first word, end word, cosine, share of the item in order) of each text and item that match.
 
-    A candidate goes to the subsequence only if enough of the item's words
-    stand near the passage at all, which bounds the subsequence from above.
+    Every pair goes to the subsequence in which enough of the item's words stand
+    near the passage, which bounds the subsequence from above; ``cosine``
+    excludes none.
     """
     items = model.items
     w = find_words(texts, lower=True)
@@ -282,37 +326,30 @@ def search(model: Model, texts: pa.Array, passage: int, cosine: float, lcs: floa
     half, term, count, first, owner = sparse(items, w, passage, h)
     if not len(half):
         return []
-    x = Sparse(half, term, count, (len(owner), items.n_terms)).times(model.space)
-    whole = x
-    whole[:-1] += np.where((owner[1:] == owner[:-1])[:, None], x[1:], 0)
-    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
     best: dict[tuple[int, int], tuple] = {}
-    least = min(lcs, sure)
     step = passage // 2
-    reach = -(-items.longest // step)
-    near, need = items.overlap(half, term, len(owner), least)
+    reach = -(-2 * items.longest // step) + 2
+    near = items.overlap(half, term, len(owner), min(lcs, sure))
     lo_doc, hi_doc = first[owner], first[owner + 1]
-    for i in range(0, len(whole), CHUNK_ROWS):
-        sim = whole[i : i + CHUNK_ROWS] @ model.q.T
-        base, top = max(0, i - reach), min(len(whole), i + CHUNK_ROWS + 2 * reach + 2)
-        total = near(base, top)
-        p, q = np.nonzero(sim >= cosine)
-        n = items.sizes[q]
-        from_, to = np.maximum(lo_doc[i + p], i + p - -(-n // step)) - base, np.minimum(hi_doc[i + p], i + p + 2 - (-2 * n // step)) - base
-        ok = total[to, q] - total[from_, q] >= need[q]
-        for pp, qq in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-            d = int(owner[i + pp])
+    for i in range(0, len(owner), CHUNK_ROWS):
+        top = min(len(owner), i + CHUNK_ROWS)
+        p, q = near(i, top, max(0, i - reach), min(len(owner), top + reach), step, lo_doc, hi_doc)
+        for pp, qq in zip(p.tolist(), q.tolist(), strict=True):
+            d = int(owner[pp])
             size = len(items.words[qq])
-            a = max(int(w.off[d]), int(w.off[d]) + (i + pp - int(first[d])) * step - size)
+            a = max(int(w.off[d]), int(w.off[d]) + (pp - int(first[d])) * step - size)
             b = min(int(w.off[d + 1]), a + passage + 2 * size)
             used = items.matched(qq, h[a:b].tolist())
             share = used.bit_count() / size
             of_answer = (used >> items.answer_from[qq]).bit_count() / (size - items.answer_from[qq])
-            if share >= sure or share >= lcs and of_answer >= answer:
-                found = (share, float(sim[pp, qq]), a - int(w.off[d]), b - int(w.off[d]))
-                if (d, qq) not in best or found[0] > best[d, qq][0]:
-                    best[d, qq] = found
-    return [(d, q, a, b, c, s) for (d, q), (s, c, a, b) in sorted(best.items())]
+            if (share >= sure or share >= lcs and of_answer >= answer) and ((d, qq) not in best or share > best[d, qq][0]):
+                best[d, qq] = (share, pp, a - int(w.off[d]), b - int(w.off[d]))
+    if not best:
+        return []
+    keys = sorted(best)
+    at = np.array([best[k][1] for k in keys])
+    cos = model.cosines(at, np.array([k[1] for k in keys]), half, term, count, owner)
+    return [(*k, best[k][2], best[k][3], float(c), best[k][0]) for k, c in zip(keys, cos, strict=True)]
 
 
 def _models(docs: DataFrame, benchmark: DataFrame, chunk: int, **options) -> list[Model]:

@@ -114,3 +114,16 @@ def test_odd_rows(spark):
     assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()) == [2, 3, 5]
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == 7
+
+
+def test_verbatim_copies_of_any_length_are_found():
+    """A copy of each item among words of the other items, with a space in which the passages don't resemble it."""
+    rng = random.Random(6)
+    lengths = [15, 16, 18, 20, 24, 28, 33, 40, 50, 59] * 4
+    items = [(i, f"{' '.join(words(rng, n - 5, vocabulary=3000))}. {' '.join(words(rng, 5, vocabulary=3000))}.") for i, n in enumerate(lengths)]
+    pool = [x for _, t in items for x in t.replace(".", "").split()]
+    texts = pa.array([" ".join([*rng.choices(pool, k=rng.randrange(20, 200)), t, *rng.choices(pool, k=150)]) for _, t in items])
+    it = D.Items(items, 5, 16)
+    model = D.Model(it, np.ones(it.n_terms), D.gaussian(it.n_terms, 64, 5))
+    got = {g[:2] for g in D.search(model, texts, 64, 0.5, 0.65, 0.5, 0.85)}
+    assert [n for i, n in enumerate(lengths) if (i, i) not in got] == []
