@@ -6,10 +6,16 @@ earliest block of each content, by (doc_id, position), is its anchor.  Every
 rolling window of ``block`` words of every document probes the blocks, and a
 window that equals an anchor before it is a hit.  Hits of a document on one
 anchor document at the same displacement join to runs, and each run is extended
-word by word, up to a block less one word each way (beyond that another block
-would have hit), to the maximal exact repeat.  As any passage of ``2 * block - 1``
-words holds a whole block of its earliest occurrence, none of that length is
-missed.
+word by word, up to a block less one word each way, to the maximal exact repeat.
+
+Any passage of ``2 * block - 1`` words holds a whole block of its earlier
+occurrence, and the words beside the block lie within a block less one.  If all
+blocks of that content have the same words beside them, the anchor does for all.
+A content whose blocks differ in them is *mixed*: the passage may go on as
+another block of it does, not as the anchor.  So all windows of
+``2 * block - 1`` words that hold a window of a mixed content are compared with
+each other as well, and each that stood before is a hit on its earliest
+occurrence.  Thus no passage of ``2 * block - 1`` words is missed.
 
 Reported are the repeats that lie in stretches of at least ``min_words`` words,
 a stretch being repeats of a document that overlap or touch.
@@ -42,6 +48,13 @@ BLOCK, MIN_WORDS, BATCH = 25, 50, 8 << 20
 LOW40 = np.uint64((1 << 40) - 1)
 
 
+def beside(g: np.ndarray, inv: np.ndarray, start: np.ndarray, block: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words beside each block, a block less one each way, and of how many there are."""
+    a, e = np.maximum(lo, start - block + 1), np.minimum(hi, start + 2 * block - 1)
+    size = ((start - a) << 32 | (e - start)).astype(np.uint64)
+    return mix(span_hash(g, inv, a, e) ^ mix(size))
+
+
 def pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
     """Byte planes of hashes (low 40 bits), documents and positions, in order of document and position."""
     n = len(h)
@@ -81,8 +94,11 @@ def _emit(parts: int, block: int):
             h = span_hash(g, inv, start, start + block)
             bucket = (h >> np.uint64(40)).astype(np.int64) % parts
             ids = b.column("doc_id").to_numpy()
+            cuts = np.flatnonzero(pos % block == 0)
+            around = np.zeros(len(doc), np.uint64)
+            around[cuts] = beside(g, inv, start[cuts], block, w.off[doc[cuts]], w.off[doc[cuts] + 1])
             rows: list[tuple] = []
-            for kind, sel in ((0, np.flatnonzero(pos % block == 0)), (1, None)):
+            for kind, sel in ((0, cuts), (1, None)):
                 bk = bucket if sel is None else bucket[sel]
                 order = np.argsort(bk.astype(np.int32), kind="stable")
                 cut = np.searchsorted(bk[order], np.arange(parts + 1))
@@ -91,7 +107,7 @@ def _emit(parts: int, block: int):
                 for k in np.flatnonzero(np.diff(cut)):
                     i = order[cut[k] : cut[k + 1]]
                     docs, local = np.unique(doc[i], return_inverse=True)
-                    rows.append((int(k), kind, ids[docs].tobytes(), pack(h[i], local, pos[i])))
+                    rows.append((int(k), kind, ids[docs].tobytes(), pack(h[i], local, pos[i]), around[i].tobytes() if kind == 0 else b""))
                     if len(rows) >= 256:
                         yield _packed(rows)
                         rows = []
@@ -103,7 +119,7 @@ def _emit(parts: int, block: int):
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["bucket", "kind", "docs", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["bucket", "kind", "docs", "packed", "around"])
 
 
 def _decode(docs: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,27 +128,99 @@ def _decode(docs: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _probe(block: int):
+    """Hits of windows on anchors; and windows of a mixed content, which have no ``ref``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[tuple] = []
         index = None
         for b in batches:
-            for kind, docs, raw in zip(b.column("kind").to_pylist(), b.column("docs").to_pylist(), b.column("packed").to_pylist(), strict=True):
+            for kind, docs, raw, around in zip(b.column("kind").to_pylist(), b.column("docs").to_pylist(), b.column("packed").to_pylist(), b.column("around").to_pylist(), strict=True):
                 part = _decode(docs, raw)
                 if kind == 0:
-                    blocks.append(part)
+                    blocks.append((*part, np.frombuffer(around, np.uint64)))
                     continue
                 if index is None and blocks:
-                    h, d, p = (np.concatenate([x[i] for x in blocks]) for i in range(3))
+                    h, d, p, c = (np.concatenate([x[i] for x in blocks]) for i in range(4))
                     order = np.lexsort((p, d, h))
-                    first = order[np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))]
-                    index = h[first], d[first], p[first]
+                    cut = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
+                    first = order[cut]
+                    differs = c[order] != np.repeat(c[first], np.diff(np.append(cut, len(order))))
+                    index = h[first], d[first], p[first], np.maximum.reduceat(differs, cut)
                     blocks = []
                 if index is not None and len(part[0]):
                     at = np.minimum(np.searchsorted(index[0], part[0]), len(index[0]) - 1)
                     ref, rpos = index[1][at], index[2][at]
-                    hit = np.flatnonzero((index[0][at] == part[0]) & ((ref < part[1]) | (ref == part[1]) & (rpos + block <= part[2])))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(part[1][hit]), pa.array(part[2][hit].astype(np.int32)), pa.array(ref[hit]), pa.array(rpos[hit].astype(np.int32))], ["doc", "pos", "ref", "rpos"])
+                    same = index[0][at] == part[0]
+                    hit = np.flatnonzero(same & ((ref < part[1]) | (ref == part[1]) & (rpos + block <= part[2])))
+                    mixed = np.flatnonzero(same & index[3][at])
+                    if len(hit) or len(mixed):
+                        both = np.concatenate([hit, mixed])
+                        none = np.arange(len(both)) >= len(hit)
+                        yield pa.RecordBatch.from_arrays([pa.array(part[1][both]), pa.array(part[2][both].astype(np.int32)), pa.array(ref[both], mask=none), pa.array(rpos[both].astype(np.int32), mask=none)], ["doc", "pos", "ref", "rpos"])
+
+    return run
+
+
+def _emit_long(parts: int, block: int):
+    """The windows of ``2 * block - 1`` words that hold a window of a mixed content (``want``: where these begin)."""
+    size = 2 * block - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BATCH):
+            w = find_words(b.column("text"), NONSPACE)
+            g, inv = prefix_hash(w.hashes())
+            want = b.column("want")
+            cut = np.asarray(want.offsets)
+            at = want.values.slice(cut[0], cut[-1] - cut[0]).to_numpy().astype(np.int64) + np.repeat(w.off[:-1], np.diff(cut))
+            diff = np.zeros(len(w.start) + 1, np.int64)
+            owner = np.repeat(np.arange(w.n_docs), np.diff(cut))
+            np.add.at(diff, np.maximum(w.off[owner], at - block + 1), 1)
+            np.add.at(diff, at + 1, -1)
+            start = np.flatnonzero(np.cumsum(diff)[:-1] > 0)
+            doc = np.searchsorted(w.off, start, side="right") - 1
+            fits = start + size <= w.off[doc + 1]
+            start, doc = start[fits], doc[fits]
+            h = span_hash(g, inv, start, start + size)
+            bucket = (h >> np.uint64(40)).astype(np.int64) % parts
+            ids = b.column("doc_id").to_numpy()
+            order = np.argsort(bucket.astype(np.int32), kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+            rows: list[tuple] = []
+            for k in np.flatnonzero(np.diff(cut)):
+                i = order[cut[k] : cut[k + 1]]
+                docs, local = np.unique(doc[i], return_inverse=True)
+                rows.append((int(k), 1, ids[docs].tobytes(), pack(h[i], local, start[i] - w.off[doc[i]]), b""))
+                if len(rows) >= 256:
+                    yield _packed(rows)
+                    rows = []
+            if rows:
+                yield _packed(rows)
+
+    return run
+
+
+def _probe_long(block: int):
+    """Each long window that stood before, as hits of its two blocks' length on the earliest occurrence."""
+    size = 2 * block - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        for b in batches:
+            got += [_decode(docs, raw) for docs, raw in zip(b.column("docs").to_pylist(), b.column("packed").to_pylist(), strict=True)]
+        if not got:
+            return
+        h, d, p = (np.concatenate([x[i] for x in got]) for i in range(3))
+        got.clear()
+        order = np.lexsort((p, d, h))
+        h, d, p = h[order], d[order], p[order]
+        cut = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
+        n = np.diff(np.append(cut, len(h)))
+        ref, rpos = np.repeat(d[cut], n), np.repeat(p[cut], n)
+        hit = np.flatnonzero((ref < d) | (ref == d) & (rpos + size <= p))
+        for i in range(0, len(hit), 1 << 18):
+            x = hit[i : i + (1 << 18)]
+            ends = [np.concatenate([a[x], a[x] + size - block]).astype(np.int32) for a in (p, rpos)]  # windows of a block at both ends
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(d[x], 2)), pa.array(ends[0]), pa.array(np.tile(ref[x], 2)), pa.array(ends[1])], ["doc", "pos", "ref", "rpos"])
 
     return run
 
@@ -184,8 +272,12 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
     """``doc_id, start_word, end_word, n_words, ref_doc_id, ref_start_word, stretch_start, stretch_end`` of each repeat."""
     parts = parts or partitions(docs.sparkSession)
     rows = _first_rows(docs)
-    packed = rows.mapInArrow(_emit(parts, block), "bucket int, kind int, docs binary, packed binary")
-    hits = packed.repartitionById(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_probe(block), "doc long, pos int, ref long, rpos int")
+    planes, hit = "bucket int, kind int, docs binary, packed binary, around binary", "doc long, pos int, ref long, rpos int"
+    packed = rows.mapInArrow(_emit(parts, block), planes)
+    probed = materialise(packed.repartitionById(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_probe(block), hit))
+    mixed = probed.filter("ref is null").groupBy(F.col("doc").alias("of")).agg(F.collect_list("pos").alias("want"))
+    longer = rows.join(mixed, F.col("doc_id") == F.col("of")).select("doc_id", "text", "want").mapInArrow(_emit_long(parts, block), planes)
+    hits = probed.filter("ref is not null").unionByName(longer.repartitionById(parts, "bucket").mapInArrow(_probe_long(block), hit))
 
     # all windows below are within a document: one exchange by doc serves them
     line = Window.partitionBy("doc", "ref", "shift").orderBy("pos")

@@ -88,3 +88,24 @@ def test_empty_and_long(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     got = S.repeats(documents(spark, [(1, long, "en", "s"), (2, long, "en", "s")])).collect()
     assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in got] == [(2, 0, 60000)]
+
+
+def test_passages_around_boilerplate_are_found(spark):
+    """Every window of min_words that stood before is covered, though its blocks also stand in earlier documents that go on otherwise."""
+    rng = random.Random(11)
+    docs = []
+    for case in range(25):
+        s = text(rng, 40)
+        passage = f"{text(rng, 10)} {s} {text(rng, 10)}"
+        docs += [f"{text(rng, 25)} {s} {text(rng, 30)}", f"{text(rng, case + 1)} {passage} {text(rng, 20)}", f"{text(rng, 13)} {passage} {text(rng, 9)}"]
+    words = [d.split() for d in docs]
+    first, want = {}, set()
+    for d, w in enumerate(words):
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), d) < d:
+                want |= {(d, i) for i in range(p, p + 50)}
+    rows = S.repeats(documents(spark, [(d, t, "en", "s") for d, t in enumerate(docs)])).collect()
+    assert len(want) == 25 * 60 and want <= {(r["doc_id"], i) for r in rows for i in range(r["stretch_start"], r["stretch_end"])}
+    for r in rows:
+        ref = words[r["ref_doc_id"]][r["ref_start_word"] :][: r["n_words"]]
+        assert words[r["doc_id"]][r["start_word"] : r["end_word"]] == ref
