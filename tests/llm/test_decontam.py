@@ -127,3 +127,10 @@ def test_verbatim_copies_of_any_length_are_found():
     model = D.Model(it, np.ones(it.n_terms), D.gaussian(it.n_terms, 64, 5))
     got = {g[:2] for g in D.search(model, texts, 64, 0.5, 0.65, 0.5, 0.85)}
     assert [n for i, n in enumerate(lengths) if (i, i) not in got] == []
+
+
+def test_chunks_of_items_give_the_same_pairs(spark, planted):
+    items, rows, _ = planted
+    docs, bench = documents(spark, rows[:60]), spark.createDataFrame(items, "item_id long, text string")
+    whole, chunked = ({tuple(r) for r in D.contaminated(docs, bench, chunk=c).select("doc_id", "item_id", "start_word", "end_word", "lcs").collect()} for c in (20, 3))
+    assert whole and whole == chunked
