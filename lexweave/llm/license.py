@@ -1,8 +1,10 @@
 """Licence scan by a positional index of rare tokens.
 
 ``TEMPLATES`` holds notices and texts of common licences.  Each template is
-indexed by its ``rare`` words of the highest inverse document frequency, the
-frequencies counted over the whole corpus; a posting is (template, position).
+indexed by its ``rare`` words of the highest inverse document frequency and by
+the ``least`` rarest of each mandatory phrase, since the others may stand in no
+file; the frequencies are counted over the whole corpus; a posting is
+(template, position).
 A file's words are looked up, each hit proposes a template at an offset (its
 position in the file less that in the template), and offsets that lie within
 ``slack`` words of each other and gather at least ``least`` different rare words
@@ -85,15 +87,17 @@ def document_frequencies(docs: DataFrame, words: list[str], text: str = "text")
 class Index:
     """Postings of each template's rarest words, by word hash."""
 
-    def __init__(self, templates: list[tuple], n_docs: int, df: dict[str, int], rare: int = RARE):
+    def __init__(self, templates: list[tuple], n_docs: int, df: dict[str, int], rare: int = RARE, least: int = LEAST):
         self.templates = [(name, words_of(text), [words_of(p) for p in phrases]) for name, text, phrases in templates]
         self.length = np.array([len(t[1]) for t in self.templates])
         self.phrases = [[np.array([stable_hash(x) for x in p], np.uint64) for p in t[2]] for t in self.templates]
         self.phrase_at = [[next((i for i in range(len(t[1])) if t[1][i : i + len(p)] == p), 0) for p in t[2]] for t in self.templates]
         rows = []
-        for i, (_, words, _) in enumerate(self.templates):
+        for i, (_, words, phrases) in enumerate(self.templates):
             idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in words}
-            chosen = sorted(idf, key=lambda w: (-idf[w], w))[:rare]
+            chosen = set(sorted(idf, key=lambda w: (-idf[w], w))[:rare])
+            for p in phrases:
+                chosen |= set(sorted({w for w in p if w in idf}, key=lambda w: (-idf[w], w))[:least])
             rows += [(stable_hash(w), i, p) for p, w in enumerate(words) if w in chosen]
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
@@ -154,7 +158,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple] = TEMPLATES, text: str
     """``doc_id, license, first_word, end_word`` of each licence in each row of ``docs``."""
     vocabulary = sorted({w for _, t, _ in templates for w in words_of(t)})
     n_docs, df = document_frequencies(docs, vocabulary, text)
-    index = Index(templates, n_docs, df, rare)
+    index = Index(templates, n_docs, df, rare, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):

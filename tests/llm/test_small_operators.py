@@ -141,6 +141,13 @@ def test_every_template_finds_itself(spark):
     assert got >= {(i, n) for i, (n, _, _) in enumerate(license.TEMPLATES)}
 
 
+def test_phrases_are_found_where_no_file_has_the_other_words():
+    german = license.words_of("Lizenziert unter der GNU General Public License, version 3, ohne Gewähr")
+    index = license.Index(license.TEMPLATES, 100, {w: 100 for w in german})
+    got = index.scan(np.array([license.stable_hash(w) for w in german], np.uint64))
+    assert [index.templates[t][0] for t, _, _ in got] == ["GPL-3.0"]
+
+
 # HTML
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><ul><li><a href='/'>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul>
