@@ -1,32 +1,12 @@
-"""Session helpers: shared scratch tables and whole-table reads."""
+"""Session helpers of this subpackage: scratch tables, whole-table reads, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(shared_dir, "own", None)
-        if named is None:
-            named = shared_dir.own = tempfile.mkdtemp(prefix="lexweave-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
 
+from ..session import discard, scratch_path, shared_folder, written
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "free_name", "id_type", "partitions", "scratch_path", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +17,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_or_none(df: DataFrame, limit: int) -> list | None:
-    """The rows of ``df`` if there are at most ``limit``, else None; never more than limit + 1 reach the driver."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (case counts for nothing)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def keep_columns(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.col(n) for n in names])
+def id_type(df: DataFrame, column: str = "doc_id") -> str:
+    """The type of an id column, for the schema of a result."""
+    return df.schema[column].dataType.simpleString()

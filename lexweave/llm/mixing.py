@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise, partitions
+from ._spark import written, partitions
 from ._text import mix
 
 ALPHA, EPOCHS, FAN_IN, SEED = 0.7, 1.0, 64, 20
@@ -130,21 +130,21 @@ def copies(docs: DataFrame, size: str = "n_chars", source: str = "source", alpha
     spark = docs.sparkSession
     parts = parts or partitions(spark)
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("size")).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
-    units = materialise(units)
+    units = written(units)
     held = units.groupBy("source").agg(F.sum("size").alias("held"))
     share = held.select("source", "held", F.pow("held", F.lit(alpha)).alias("w")) if targets is None else held.join(targets.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("w")), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "held", F.coalesce("w", F.lit(0.0)).alias("w"))
     whole = share.agg(F.sum("held").alias("all_held"), F.sum("w").alias("all_w"))
     rate = share.crossJoin(whole).select(F.col("source").alias("__source"), F.when((F.col("held") > 0) & (F.col("all_w") > 0), F.col("w") / F.col("all_w") * F.col("all_held") * epochs / F.col("held")).otherwise(1.0).alias("rate"))
     level = units.join(rate, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "source", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("mass"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
     state = level.withColumn("done", F.lit(False)).repartitionById(parts, "part").sortWithinPartitions("part", "source", "doc_id").mapInArrow(_round(seed, True), _STATE)
-    state = materialise(state)
+    state = written(state)
     decided, groups, depth = [state.filter("done")], parts, 0
     while True:
         left = state.filter("not done")
         last = groups == 1
         groups, depth = -(-groups // fan_in), depth + 1
         up = left.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).repartitionById(groups, "part").sortWithinPartitions("part", "source", "doc_id")
-        state = materialise(up.mapInArrow(_round(seed + depth, not last), _STATE))  # a row a source and group
+        state = written(up.mapInArrow(_round(seed + depth, not last), _STATE))  # a row a source and group
         decided.append(state.filter("done"))
         if last:
             break

@@ -9,8 +9,7 @@ from ._spark import table
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = audio.voiced(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
-    return audio.audio_features(clips, ["conv_id", "turn"])
+    return audio.voiced_features(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

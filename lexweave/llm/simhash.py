@@ -10,19 +10,33 @@ key, as both reach the word between them.  Of fingerprints that differ in at
 most 8 bits at least three segments differ in at most 2 (pigeonhole), and the
 pairs of segments in ``PAIRS`` are such that any three segments hold one of them
 (Turan), so such fingerprints share a key of a pair for certain, and more
-distant ones (up to ``LIMIT`` bits) mostly.  Documents are joined on the pair
-keys, 24 bits and the pair; all partners with a common key are compared, and a
-pair of fingerprints is taken once, at its least common key.
-
-Groups are the connected components of pairs within ``LIMIT`` bits (alternating
-large-star and small-star, in a few rounds of joins); one document of each
-group stays, that with the least doc_id.
+distant ones (up to ``LIMIT`` bits) mostly.
+
+The words' order plays no part in these bits.  So 64 more, voted by the pairs of
+neighbouring words, verify: two texts are near if their fingerprints differ in
+at most ``LIMIT`` bits and these in at most ``ORDER_LIMIT``.
+
+Fingerprints go to buckets of keys, packed: all those of a batch that fall in
+one bucket are one row of byte planes.  The rows of a bucket are counted
+before; one with more than ``ROWS`` (a key that many fingerprints have) is split
+in g chunks of fingerprints, and a unit of work is a pair of chunks, so that all
+partners meet whatever the size.  A unit finds which of its fingerprints hang
+together, and passes on one edge a fingerprint, to the least one, not all
+pairs: small groups of a key are compared pair by pair, in larger ones the near
+ones of a fingerprint leave the list, and fingerprints that hang together
+already aren't compared again.
+
+Groups are the connected components of near pairs (alternating large-star and
+small-star, in a few rounds of joins); one document of each group stays, that
+with the least doc_id.
 
 Defined results: texts that are null, empty or without words, and rows whose
 doc_id is null, have no duplicates and stay.  Equal texts have equal
 fingerprints and are grouped before any join.  Rows that repeat a doc_id and
-its text count as one document.  Other columns are ignored, or passed on by
-:func:`drop_near_duplicates`.
+its text count as one document; rows that share a doc_id but not the text are
+judged one by one, and only those whose text is a duplicate go.  A doc_id may be
+of any type that can be ordered.  Other columns are ignored, or passed on by
+:func:`drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +50,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialise, partitions
-from ._text import find_words, mix, slices
+from ._spark import discard, free_name, id_type, partitions, written
+from ._text import Words, find_words, mix, slices
 
-SEGMENTS, WIDTH, LIMIT = 5, 23, 14
+SEGMENTS, WIDTH, LIMIT, ORDER_LIMIT = 5, 23, 14, 22
 BITS = SEGMENTS * WIDTH
 PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4))
 GENERATOR = 0xC75
+#: rows of a unit of work (28 bytes each); groups of a key up to SMALL are compared pair by pair; fingerprints packed at once
+ROWS, SMALL, PACK = 1 << 20, 24, 1 << 14
+PRINT = ["f1", "f2", "f3"]
 
 
 @functools.lru_cache(maxsize=1)
@@ -59,48 +76,57 @@ def golay() -> np.ndarray:
     return table
 
 
-def fingerprint_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (n, 2) as 64-bit halves, and the number of words of each text."""
-    w = find_words(texts, lower=True)
+def _votes(w: Words, h: np.ndarray, lanes: int) -> np.ndarray:
+    """Bits (n, lanes * 64) on which the different hashes of each text agree, as 64-bit halves."""
     n = w.n_docs
-    words = np.diff(w.off)
-    out = np.zeros((n, 2), np.uint64)
-    keys, count = np.unique(w.doc_of().astype(np.uint64) << np.uint64(51) | w.hashes() >> np.uint64(13), return_counts=True)
+    keys, count = np.unique(w.doc_of().astype(np.uint64) << np.uint64(51) | h >> np.uint64(13), return_counts=True)
     off = np.searchsorted(keys >> np.uint64(51), np.arange(n + 1, dtype=np.uint64))
-    h = mix(keys & np.uint64((1 << 51) - 1))
+    first = mix(keys & np.uint64((1 << 51) - 1))
+    lane = np.stack([first, mix(first ^ np.uint64(0xA24BAED4963EE407))][:lanes], axis=1)
     weight = np.floor(16 * np.sqrt(count)).astype(np.float32)
-    both = np.stack([h, mix(h ^ np.uint64(0xA24BAED4963EE407))], axis=1)
+    out = np.zeros((n, lanes), np.uint64)
     step = 1 << 15
-    for d in np.flatnonzero(words):
-        votes = np.zeros(128)
+    for d in np.flatnonzero(np.diff(w.off)):
+        votes = np.zeros(64 * lanes)
         for i in range(off[d], off[d + 1], step):
             j = min(i + step, off[d + 1])
-            bits = np.unpackbits(both[i:j].view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+            bits = np.unpackbits(lane[i:j].view(np.uint8), axis=1, bitorder="little").astype(np.float32)
             votes += weight[i:j] @ bits
         on = votes * 2 > weight[off[d] : off[d + 1]].sum(dtype=np.float64)
         on[BITS:] = False
         out[d] = np.packbits(on, bitorder="little").view(np.uint64)
-    return out, words
+    return out
+
+
+def fingerprint_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (n, 3) as 64-bit parts, the third of the words' order, and the number of words of each text."""
+    w = find_words(texts, lower=True)
+    h = w.hashes()
+    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
+    before[w.off[:-1][np.diff(w.off) > 0]] = 0
+    return np.hstack([_votes(w, h, 2), _votes(w, mix(mix(before) + h), 1)]), np.diff(w.off)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, f1, f2`` of each row with a doc_id and words."""
+    """``doc_id, h, f1, f2, f3`` of each row with a doc_id and words; ``h`` is the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for i in range(0, big.num_rows, 8192):  # 13 bits for the row in fingerprint_batch
-                for b in slices(iter([big.slice(i, 8192)]), text):
-                    f, words = fingerprint_batch(b.column(text))
+            for i in range(0, big.num_rows, 8192):  # 13 bits for the row in _votes
+                for b in slices(iter([big.slice(i, 8192)]), "t"):
+                    f, words = fingerprint_batch(b.column("t"))
                     keep = np.flatnonzero(words)
+                    at = pa.array(keep)
                     f = f[keep].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)).cast(pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["doc_id", "f1", "f2"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), *(pa.array(f[:, k].copy()) for k in range(3))], ["doc_id", "h", *PRINT])
 
-    return docs.select("doc_id", text).filter("doc_id is not null").mapInArrow(run, "doc_id long, f1 long, f2 long")
+    rows = docs.select("doc_id", F.col(text).alias("t"), F.xxhash64(text).alias("h")).filter("doc_id is not null")
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, h long, f1 long, f2 long, f3 long")
 
 
-def segments(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+def segments(f: np.ndarray) -> np.ndarray:
     """The segments (n, 5) of fingerprints."""
-    a, b = f1.view(np.uint64), f2.view(np.uint64)
+    a, b = f[:, 0].view(np.uint64), f[:, 1].view(np.uint64)
     low = np.uint64((1 << WIDTH) - 1)
     s = [a & low, a >> np.uint64(23) & low, (a >> np.uint64(46) | b << np.uint64(18)) & low, b >> np.uint64(5) & low, b >> np.uint64(28) & low]
     return np.stack(s, axis=1).astype(np.int64)
@@ -116,118 +142,240 @@ def keys_of(seg: np.ndarray) -> np.ndarray:
     return np.where(k == 4096, -1, k).astype(np.int32)
 
 
-def pair_keys(f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all pair keys."""
-    k = keys_of(segments(f1, f2))
+def pair_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all pair keys of fingerprints."""
+    k = keys_of(segments(f))
     rows, keys = [], []
     for c, (i, j) in enumerate(PAIRS):
-        both = (k[:, i, :, None].astype(np.int64) << 12 | k[:, j, None, :]) | c << 24
-        ok = (k[:, i, :, None] >= 0) & (k[:, j, None, :] >= 0)
-        r, _, _ = np.nonzero(ok)
+        both = k[:, i, :, None] << 12 | k[:, j, None, :] | c << 24
+        r, x, y = np.nonzero((k[:, i, :, None] >= 0) & (k[:, j, None, :] >= 0))
         rows.append(r)
-        keys.append(both[ok])
-    return np.concatenate(rows), np.concatenate(keys)
+        keys.append(both[r, x, y])
+    return np.concatenate(rows), np.concatenate(keys).astype(np.uint32)
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distance of fingerprints (n, 2)."""
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1).astype(np.int32)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def least_common_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least pair key that fingerprints (n, 2) share; -1 if none."""
-    ka, kb = keys_of(segments(a[:, 0], a[:, 1])), keys_of(segments(b[:, 0], b[:, 1]))
-    same = (ka[..., :, None] == kb[..., None, :]) & (ka[..., :, None] >= 0)
-    least = np.where(same.any(axis=-1), ka, 1 << 20).min(axis=-1).astype(np.int64)
-    out = np.full(len(a), -1, np.int64)
-    for c in reversed(range(len(PAIRS))):
-        i, j = PAIRS[c]
-        ok = (least[:, i] < 1 << 20) & (least[:, j] < 1 << 20)
-        out = np.where(ok, least[:, i] << 12 | least[:, j] | c << 24, out)
-    return out
+def near(a: np.ndarray, b: np.ndarray, limit: int = LIMIT, order_limit: int = ORDER_LIMIT) -> np.ndarray:
+    """Whether fingerprints (n, 3) of unsigned parts are near; ``a`` may be one."""
+    x = a ^ b
+    ok = np.bitwise_count(x[..., 0]) + np.bitwise_count(x[..., 1]) <= limit
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count(x[at, 2]) <= order_limit
+    return ok
 
 
-def near_pairs(reps: DataFrame, limit: int = LIMIT, parts: int | None = None) -> DataFrame:
-    """``a, b, bits``: pairs a < b of ``reps`` (doc_id, f1, f2) within ``limit`` bits that share a pair key."""
-    parts = parts or partitions(reps.sparkSession)
+def forest(n: int, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The least node with which each hangs together, given the edges (x, y) and what ``label`` says already."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+    return label
+
+
+def hang_together(key: np.ndarray, f: np.ndarray, limit: int = LIMIT, order_limit: int = ORDER_LIMIT, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of ``f`` that have a near one with the same key, each once, and for each the place of the least one with which it hangs together."""
+    order = np.argsort(key, kind="stable")
+    key, f = key[order], f[order]
+    start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint32(1)))
+    size = np.diff(np.append(start, len(key)))
+    group = np.repeat(size, size)
+    at, shift = np.flatnonzero((group > 1) & (group <= small)), 1
+    left = (np.repeat(start + size, size) - 1 - np.arange(len(key)))[at]  # rows of the group that follow
+    found = [np.zeros((2, 0), np.int64)]
+    while len(at):
+        more = left >= shift
+        at, left = at[more], left[more]
+        for i in range(0, len(at), 1 << 18):
+            x = at[i : i + (1 << 18)]
+            x = x[near(f[x], f[x + shift], limit, order_limit)]
+            found.append(np.stack([x, x + shift]))
+        shift += 1
+    pairs = np.concatenate(found, axis=1)
+    large = [np.arange(s, s + n) for s, n in zip(start[size > small], size[size > small], strict=True)]
+    used = np.unique(np.concatenate([pairs.ravel(), *large]))
+    _, first, again = np.unique(f[used].view("V24").ravel(), return_index=True, return_inverse=True)
+    node = np.zeros(len(key), np.int64)
+    node[used] = again
+    prints = f[used[first]]
+    label = forest(len(prints), *node[pairs], np.arange(len(prints)))
+    for rows in large:
+        mine = np.unique(node[rows])
+        if (label[mine] != label[mine[0]]).any():
+            x, y = _grow(prints[mine], label[mine], limit, order_limit)
+            label = forest(len(prints), mine[x], mine[y], label)
+    return prints, label
+
+
+def _grow(f: np.ndarray, label: np.ndarray, limit: int, order_limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of near fingerprints: what is reached leaves the list, with all that has its label."""
+    names, lab = np.unique(label, return_inverse=True)
+    rest = np.argsort(lab, kind="stable")
+    edges, ready = [], []
+    while len(rest):
+        if ready:
+            i = ready.pop()
+        else:
+            i = int(rest[0])
+            same = lab[rest] == lab[i]
+            ready += rest[same].tolist()
+            rest = rest[~same]
+            continue
+        hit = rest[near(f[i], f[rest], limit, order_limit)]
+        if len(hit):
+            reached = np.zeros(len(names), bool)
+            reached[lab[hit]] = True
+            edges.append((np.full(len(hit), i), hit))
+            new = reached[lab[rest]]
+            ready += rest[new].tolist()
+            rest = rest[~new]
+    if not edges:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
+
+
+def _parts(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy() for c in PRINT], axis=1)
+
+
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for big in batches:
+            for i in range(0, big.num_rows, PACK):
+                total += np.bincount(bucket_of(pair_keys(_parts(big.slice(i, PACK)))[1], buckets), minlength=buckets)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    return run
+
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(buckets: int, chunks: dict[int, int]):
+    split = np.ones(buckets, np.int64)
+    split[list(chunks)] = list(chunks.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for i in range(0, big.num_rows, 2048):
-                b = big.slice(i, 2048)
-                ids, f1, f2 = (b.column(n).to_numpy() for n in ("doc_id", "f1", "f2"))
-                row, key = pair_keys(f1, f2)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(f1[row]), pa.array(f2[row])], ["key", "doc_id", "f1", "f2"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # rows of the last key so far
+            for i in range(0, big.num_rows, PACK):
+                f = _parts(big.slice(i, PACK))
+                row, key = pair_keys(f)
+                bucket = bucket_of(key, buckets)
+                unit, g = bucket << 30, split[bucket]
+                if (g > 1).any():
+                    at = np.repeat(np.arange(len(row)), g)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
+                    row, key, bucket, g = row[at], key[at], bucket[at], g[at]
+                    chunk = (mix(f[row, 0].view(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
+                    unit = bucket << 30 | np.minimum(chunk, other) << 15 | np.maximum(chunk, other)
+                order = np.argsort(unit, kind="stable")
+                row, key, unit = row[order], key[order], unit[order]
+                data = np.empty((len(row), 28), np.uint8)
+                data[:, :4] = key.view(np.uint8).reshape(-1, 4)
+                data[:, 4:] = f[row].view(np.uint8).reshape(-1, 24)
+                cut = np.unique(np.concatenate([np.flatnonzero(np.diff(unit, prepend=-1)), np.arange(0, len(unit), 2048)]))
+                packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((np.append(cut, len(unit)) * 28).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[cut]), packed], ["unit", "packed"])
+
+    return run
+
+
+def _compare(limit: int, order_limit: int):
+    def edges(raw: list[bytes]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 28)
+        key, f = np.ascontiguousarray(data[:, :4]).view(np.uint32).ravel(), np.ascontiguousarray(data[:, 4:]).view(np.uint64)
+        prints, label = hang_together(key, f, limit, order_limit)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        a, b = prints[label[far]].view(np.int64), prints[far].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, k].copy()) for x in (a, b) for k in range(3)], ["a1", "a2", "a3", "b1", "b2", "b3"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, raw = None, []
         for b in batches:
-            cols = [b.column(n).to_numpy() for n in ("key", "doc_id", "f1", "f2")]
-            old = 0
-            if kept is not None:
-                old = len(kept[0])
-                cols = [np.concatenate([k, c]) for k, c in zip(kept, cols, strict=True)]
-            key, ids = cols[0], cols[1]
-            f = np.stack([cols[2], cols[3]], axis=1)
-            n = len(key)
-            at = np.arange(max(0, 0), n)
-            shift = 1
-            while True:  # all pairs of rows of equal key, one distance in the order at a time
-                at = at[at + shift < n]
-                at = at[key[at] == key[at + shift]]
-                if not len(at):
-                    break
-                new = at[at + shift >= old] if old else at  # pairs of kept rows were compared before
-                for i in range(0, len(new), 1 << 18):
-                    x = new[i : i + (1 << 18)]
-                    y = x + shift
-                    d = distance(f[x], f[y])
-                    near = d <= limit
-                    x, y, d = x[near], y[near], d[near]
-                    first = least_common_key(f[x], f[y]) == key[x] if len(x) else np.zeros(0, bool)
-                    x, y, d = x[first], y[first], d[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(d)], ["a", "b", "bits"])
-                shift += 1
-            first = int(np.searchsorted(key, key[-1])) if n else 0
-            kept = [c[first:] for c in cols]
-
-    rows = reps.select("doc_id", "f1", "f2").mapInArrow(emit, "key long, doc_id long, f1 long, f2 long")
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, bits int").filter("a < b")
+            for u, p in zip(b.column("unit").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                if u != unit and raw:
+                    yield edges(raw)
+                    raw = []
+                unit = u
+                raw.append(p)
+        if raw:
+            yield edges(raw)
+
+    return run
+
+
+def near_edges(reps: DataFrame, limit: int = LIMIT, order_limit: int = ORDER_LIMIT, rows: int = ROWS) -> DataFrame:
+    """``a, b``: edges between the nodes of ``reps`` (node, and fingerprints that all differ), which hang together as all near pairs do that share a pair key."""
+    parts = partitions(reps.sparkSession)
+    prints = reps.select(*PRINT)
+    buckets = max(parts, -(-reps.count() * 120 // (rows // 2)))  # about 113 keys a fingerprint
+    sizes = prints.mapInArrow(_count(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > rows)
+    chunks = {r["bucket"]: -(-r["n"] // (rows // 2)) for r in sizes.collect()}  # at most as many as rows go into all units
+    units = prints.mapInArrow(_emit(buckets, chunks), "unit long, packed binary").repartition(parts, "unit").sortWithinPartitions("unit")
+    found = units.mapInArrow(_compare(limit, order_limit), "a1 long, a2 long, a3 long, b1 long, b2 long, b3 long").distinct()
+    for side in "ab":
+        ids = reps.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}{c[1]}") for c in PRINT])
+        found = found.join(ids, [f"{side}{k}" for k in (1, 2, 3)])
+    return found.select("a", "b")
 
 
 def components(pairs: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
-    """``node, root``: the least node of its component, for each node of a pair."""
-    edges = materialise(pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v"))
+    """``node, root``: the least node of its component, for each node of a pair with another."""
+    edges = written(pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v"))
     before = None
-    by = Window.partitionBy("u")
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.withColumn("m", F.min("v").over(by))  # here u > v
-        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialise(small)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # here u > v
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        old, edges = edges, written(small)
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root")
+    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+
+
+def _classes(docs: DataFrame, text: str, limit: int, order_limit: int) -> DataFrame:
+    """``doc_id, h, kept_doc_id, kept_h, n_links, n_copies`` of the rows of each class with several; a row is a doc_id and a text."""
+    prints = written(fingerprints(docs, text).distinct())
+    reps = written(prints.groupBy(*PRINT).agg(F.min(F.struct("doc_id", "h")).alias("node"), F.count("*").alias("n")))
+    roots = components(near_edges(reps, limit, order_limit))
+    of = reps.join(roots, "node", "left").select(*PRINT, "n", F.coalesce("root", "node").alias("root"))
+    size = of.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("rows")).filter("rows > 1")
+    many = of.join(size, "root").select(*PRINT, F.col("root.doc_id").alias("kept_doc_id"), F.col("root.h").alias("kept_h"), (F.col("texts") - 1).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    return prints.join(many, PRINT).drop(*PRINT)
+
 
+def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, order_limit: int = ORDER_LIMIT) -> DataFrame:
+    """``doc_id, kept_doc_id, n_links, n_copies`` of each document whose class keeps another, with a smaller doc_id.
 
-def near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """``doc_id, kept_doc_id`` of each document that has a near-duplicate with a smaller doc_id in its group; the latter is the one that stays."""
-    prints = materialise(fingerprints(docs, text).distinct())
-    reps = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(near_pairs(reps, limit))
-    members = prints.withColumn("rep", F.min("doc_id").over(Window.partitionBy("f1", "f2"))).select("doc_id", "rep")
-    found = members.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("kept_doc_id"))
-    return found.groupBy("doc_id").agg(F.min("kept_doc_id").alias("kept_doc_id")).filter("doc_id <> kept_doc_id")
+    ``kept_doc_id`` names the class; ``n_links`` counts the class's texts that
+    differ from the document's, with which it hangs together; ``n_copies`` the other
+    documents with its very text.  The classes' kept documents, and documents
+    without a near-duplicate, have no row.
+    """
+    found = _classes(docs, text, limit, order_limit).filter("doc_id <> kept_doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct("kept_doc_id", "n_links", "n_copies")).alias("r")).select("doc_id", "r.*")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", limit: int = LIMIT, order_limit: int = ORDER_LIMIT) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one document of each group stays."""
-    gone = near_duplicates(docs, text, limit).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = Window.partitionBy("doc_id").orderBy(text)
-    numbered = kept.withColumn("__n", F.row_number().over(again)).withColumn("__same", F.col(text).eqNullSafe(F.lag(text).over(again)))
-    return numbered.filter("doc_id is null or __n = 1 or not __same").drop("__n", "__same")
+    h, n, gone_id, gone_h = (free_name(docs, x) for x in ("__h", "__n", "__gone_id", "__gone_h"))
+    gone = _classes(docs, text, limit, order_limit).filter("doc_id <> kept_doc_id or h <> kept_h").select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(h, F.xxhash64(text))
+    kept = named.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(h) == F.col(gone_h)), "left_anti")
+    once = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(h))).filter(F.col(n) == 1)
+    return once.drop(h, n).unionByName(docs.filter(F.col("doc_id").isNull()))

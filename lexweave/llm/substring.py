@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialise, partitions
+from ._spark import written, partitions
 from ._text import NONSPACE, find_words, mix, prefix_hash, slices, span_hash
 
 BLOCK, MIN_WORDS, BATCH = 25, 50, 8 << 20
@@ -274,7 +274,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
     rows = _first_rows(docs)
     planes, hit = "bucket int, kind int, docs binary, packed binary, around binary", "doc long, pos int, ref long, rpos int"
     packed = rows.mapInArrow(_emit(parts, block), planes)
-    probed = materialise(packed.repartitionById(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_probe(block), hit))
+    probed = written(packed.repartitionById(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_probe(block), hit))
     mixed = probed.filter("ref is null").groupBy(F.col("doc").alias("of")).agg(F.collect_list("pos").alias("want"))
     longer = rows.join(mixed, F.col("doc_id") == F.col("of")).select("doc_id", "text", "want").mapInArrow(_emit_long(parts, block), planes)
     hits = probed.filter("ref is not null").unionByName(longer.repartitionById(parts, "bucket").mapInArrow(_probe_long(block), hit))
@@ -283,7 +283,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
     line = Window.partitionBy("doc", "ref", "shift").orderBy("pos")
     breaks = F.sum((F.col("pos") - F.lag("pos", 1, -(10**9)).over(line) > block).cast("int")).over(line)
     runs = hits.repartition("doc").withColumn("shift", F.col("pos") - F.col("rpos")).withColumn("run", breaks).groupBy("doc", "ref", "shift", "run").agg(F.min("pos").alias("s"), (F.max("pos") + block).alias("e"))
-    runs = materialise(runs.drop("run"))
+    runs = written(runs.drop("run"))
 
     def contexts(spans: DataFrame) -> DataFrame:
         wanted = spans.groupBy("at").agg(F.collect_list(F.struct("s", "e", "ref", "shift")).alias("want"))

@@ -184,22 +184,61 @@ def test_resampling_against_the_plain_sum():
     y, taps = audio.resample(x, 8000), audio.branches(2, 1).shape[1]
     for n in (100, 101, 350):
         k = n // 2 + np.arange(taps) - taps // 2
-        assert y[n] == pytest.approx(sum(x[i] * c for i, c in zip(k, h[n % 2][::-1], strict=True) if 0 <= i < len(x)))
+        assert y[n] == pytest.approx(sum(x[i] * c for i, c in zip(k, h[n % 2][::-1], strict=True) if 0 <= i < len(x)), abs=1e-5)
 
 
 def test_segments_and_mel():
     x = np.concatenate([np.zeros(4000), 0.5 * np.sin(np.arange(8000)), 0.005 * np.sin(np.arange(1600)), np.zeros(4000), 0.012 * np.sin(np.arange(4000))])
-    f = audio.frames_of(x)
-    got = audio.segments(f)
+    got = audio.segments(audio.level(audio.frames_of(x)))
     assert len(got) == 1 and abs(got[0][0] - 4000 / 160) <= 3  # the last sound never reaches the upper level
     tone = audio.log_mel(audio.frames_of(0.5 * np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000)))
     hz = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), 42)[1:-1] / 2595) - 1)
     assert abs(hz[tone.mean(axis=0).argmax()] - 1000) < 80
 
 
-def test_audio_table(spark):
+def test_mel_and_segments_against_plain_sums():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(1500) * s for s in (0.001, 0.3, 0.02, 0.002, 0.02, 0.2, 0.0)])
+    f = audio.frames_of(x)
+    assert len(f) == audio.n_frames(len(x)) and (len(f) - 1) * 160 + 400 >= len(x)  # every sample is in a frame
+    t, k = np.arange(400), np.arange(257)[:, None]
+    wave = np.exp(-2j * np.pi * k * t / 512)
+    top = 2595 * np.log10(1 + 8000 / 700)
+    edge = [700 * (10 ** (top * i / 41 / 2595) - 1) for i in range(42)]
+    mel = audio.log_mel(f)
+    for i in (0, 7, len(f) - 1):
+        y = [x[i * 160 + j] * (0.5 - 0.5 * np.cos(2 * np.pi * j / 400)) if i * 160 + j < len(x) else 0.0 for j in t]
+        power = np.abs(wave @ np.array(y)) ** 2
+        for m in (0, 11, 39):
+            tri = [max(0.0, min((h - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - h) / (edge[m + 2] - edge[m + 1]))) for h in np.arange(257) * 16000 / 512]
+            assert mel[i, m] == pytest.approx(np.log(max(power @ tri, 1e-10)), abs=2e-3)
+    db = [10 * np.log10(max(sum(v * v for v in w) / 400, 1e-10)) for w in f.tolist()]
+    on, want, began = False, [], 0
+    for i, v in enumerate([*db, -999.0]):  # hysteresis, frame by frame, and back to where the lower level was reached
+        if not on and v >= -30:
+            on, began = True, i
+            while began and db[began - 1] >= -40:
+                began -= 1
+        if on and v < -40:
+            on = False
+            want.append((began, i))
+    assert audio.segments(audio.level(f)) == want and want
+
+
+def test_a_long_clip_is_worked_off_in_slices():
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal(400_000) * 3000).astype(np.int16)
+    y = audio.resample(x, 11025)
+    n, mel, db = audio.analysed(x, 11025)
+    f = audio.frames_of(y)
+    assert n == len(y) > 4 * audio.SLICE and np.allclose(mel, audio.log_mel(f), atol=1e-4) and np.allclose(db, audio.level(f), atol=1e-4)
+    pieces = np.concatenate(list(audio.resampled(x, 11025, most=5000)))
+    assert np.allclose(pieces, y, atol=1e-5)
+
+
+def test_audio_table(spark, tmp_path):
     pcm = (0.5 * np.sin(np.arange(16000)) * 32767).astype("<i2").tobytes()
-    rows = [(1, pcm, 16000), (1, pcm, 16000), (2, None, 16000), (3, b"", 8000), (4, pcm, None), (5, pcm, 0), (6, pcm[:10], 8000), (None, pcm, 16000), (7, pcm[:9], 16000)]
+    rows = [(1, pcm, 16000), (1, pcm, 16000), (2, None, 16000), (3, b"", 8000), (4, pcm, None), (5, pcm, 0), (6, pcm[:10], 8000), (None, pcm, 16000), (7, pcm[:9], 16000), (8, pcm * 400, 16000)]
     clips = with_clashes(spark.createDataFrame(rows, "id long, samples binary, rate int"))
     out = audio.audio_features(clips, ["id"])
     got = out.collect()
@@ -207,8 +246,12 @@ def test_audio_table(spark):
     assert n[1] == 2 * n[None] and n[6] == n[7] == 1 and not n.keys() & {2, 3, 4, 5}
     for r in got:
         assert len(r["log_mel"]) == audio.FRAMES * audio.MELS and 0 <= r["t_start"] < r["t_end"]
-    t = audio.as_tensors(out.toArrow())
-    assert t.type.shape == [audio.FRAMES, audio.MELS] and t.to_numpy_ndarray().shape == (len(got), audio.FRAMES, audio.MELS)
+    assert max(r["t_end"] for r in got if r["id"] == 8) == 400 and n[8] == -(-audio.n_frames(400 * 16000) // audio.FRAMES)
+    t = audio.as_tensors(out.filter("id = 1").toArrow())
+    assert t.type.shape == [audio.FRAMES, audio.MELS] and t.to_numpy_ndarray().shape == (n[1], audio.FRAMES, audio.MELS)
+    out.write.parquet(str(tmp_path / "features"))
+    assert sum(b.num_rows for b in audio.read_tensors(str(tmp_path / "features"))) == len(got)
+    assert all(b.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.FRAMES, audio.MELS)) for b in audio.read_tensors(str(tmp_path / "features")))
     assert audio.audio_features(clips.limit(0), ["id"]).count() == 0
 
 
