@@ -6,12 +6,10 @@ and read again.  The first four return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm import decontam, langid, mixing, simhash, substring
-from lexweave.llm._spark import shared_dir, table
+from lexweave.llm._spark import discard, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name.split()[0]}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:  # what the stage before wrote isn't needed any more
+            discard(before)
     return docs
