@@ -317,7 +317,7 @@ def _compare(limit: int, order_limit: int):
 def near_edges(reps: DataFrame, limit: int = LIMIT, order_limit: int = ORDER_LIMIT, rows: int = ROWS) -> DataFrame:
     """``a, b``: edges between the nodes of ``reps`` (node, and fingerprints that all differ), which hang together as all near pairs do that share a pair key."""
     parts = partitions(reps.sparkSession)
-    prints = reps.select(*PRINT)
+    prints = reps.select(*PRINT).repartition(parts)  # a row is little to read and much to work on
     buckets = max(parts, -(-reps.count() * 120 // (rows // 2)))  # about 113 keys a fingerprint
     sizes = prints.mapInArrow(_count(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > rows)
     chunks = {r["bucket"]: -(-r["n"] // (rows // 2)) for r in sizes.collect()}  # at most as many as rows go into all units
