@@ -57,8 +57,8 @@ SEGMENTS, WIDTH, LIMIT, ORDER_LIMIT = 5, 23, 14, 22
 BITS = SEGMENTS * WIDTH
 PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4))
 GENERATOR = 0xC75
-#: rows of a unit of work (28 bytes each); groups of a key up to SMALL are compared pair by pair; fingerprints packed at once
-ROWS, SMALL, PACK = 1 << 20, 24, 1 << 14
+#: rows of a unit of work (28 bytes each) and units, at most; groups of a key up to SMALL are compared pair by pair; fingerprints packed at once
+ROWS, BUCKETS, SMALL, PACK = 1 << 18, 1 << 22, 24, 1 << 14
 PRINT = ["f1", "f2", "f3"]
 
 
@@ -278,12 +278,19 @@ def _emit(buckets: int, chunks: dict[int, int]):
                     row, key, bucket, g = row[at], key[at], bucket[at], g[at]
                     chunk = (mix(f[row, 0].view(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
                     unit = bucket << 30 | np.minimum(chunk, other) << 15 | np.maximum(chunk, other)
-                order = np.argsort(unit, kind="stable")
+                order = np.lexsort((key, unit))
                 row, key, unit = row[order], key[order], unit[order]
-                data = np.empty((len(row), 28), np.uint8)
-                data[:, :4] = key.view(np.uint8).reshape(-1, 4)
-                data[:, 4:] = f[row].view(np.uint8).reshape(-1, 24)
                 cut = np.unique(np.concatenate([np.flatnonzero(np.diff(unit, prepend=-1)), np.arange(0, len(unit), 2048)]))
+                # planes: a row's keys, lowest bytes first, then each part of its fingerprints
+                n = np.diff(np.append(cut, len(unit)))
+                base, step = np.repeat(cut * 28, n), np.arange(len(unit)) - np.repeat(cut, n)
+                wide = np.repeat(n, n)
+                data = np.empty(len(row) * 28, np.uint8)
+                raw = key.view(np.uint8).reshape(-1, 4)
+                for k in range(4):
+                    data[base + k * wide + step] = raw[:, k]
+                raw, at = f[row].view(np.uint8).reshape(-1, 24), base + 4 * wide + 24 * step
+                data[at[:, None] + np.arange(24)] = raw
                 packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((np.append(cut, len(unit)) * 28).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(unit[cut]), packed], ["unit", "packed"])
 
@@ -292,8 +299,9 @@ def _emit(buckets: int, chunks: dict[int, int]):
 
 def _compare(limit: int, order_limit: int):
     def edges(raw: list[bytes]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 28)
-        key, f = np.ascontiguousarray(data[:, :4]).view(np.uint32).ravel(), np.ascontiguousarray(data[:, 4:]).view(np.uint64)
+        size = [len(p) // 28 for p in raw]
+        key = np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel() for p, n in zip(raw, size, strict=True)])
+        f = np.concatenate([np.frombuffer(p, np.uint64, 3 * n, 4 * n).reshape(n, 3) for p, n in zip(raw, size, strict=True)])
         prints, label = hang_together(key, f, limit, order_limit)
         far = np.flatnonzero(label != np.arange(len(label)))
         a, b = prints[label[far]].view(np.int64), prints[far].view(np.int64)
@@ -318,9 +326,11 @@ def near_edges(reps: DataFrame, limit: int = LIMIT, order_limit: int = ORDER_LIM
     """``a, b``: edges between the nodes of ``reps`` (node, and fingerprints that all differ), which hang together as all near pairs do that share a pair key."""
     parts = partitions(reps.sparkSession)
     prints = reps.select(*PRINT).repartition(parts)  # a row is little to read and much to work on
-    buckets = max(parts, -(-reps.count() * 120 // (rows // 2)))  # about 113 keys a fingerprint
+    total = reps.count() * 120  # about 113 keys a fingerprint
+    buckets = min(BUCKETS, max(parts, -(-total // (rows // 2))))
+    rows = max(rows, 2 * total // buckets)
     sizes = prints.mapInArrow(_count(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > rows)
-    chunks = {r["bucket"]: -(-r["n"] // (rows // 2)) for r in sizes.collect()}  # at most as many as rows go into all units
+    chunks = {r["bucket"]: -(-r["n"] // (rows // 2)) for r in sizes.collect()}  # buckets of twice the usual size: fewer than half of BUCKETS
     units = prints.mapInArrow(_emit(buckets, chunks), "unit long, packed binary").repartition(parts, "unit").sortWithinPartitions("unit")
     found = units.mapInArrow(_compare(limit, order_limit), "a1 long, a2 long, a3 long, b1 long, b2 long, b3 long").distinct()
     for side in "ab":
