@@ -6,10 +6,12 @@ earliest block of each content, by (doc_id, position), is its anchor.  Every
 rolling window of ``block`` words of every document probes the blocks, and a
 window that equals an anchor before it is a hit.  Hits of a document on one
 anchor document at the same displacement join to runs, and each run is extended
-word by word, up to a block less one word each way, to the maximal exact repeat.
+word by word each way until a word differs, to the maximal exact repeat: first
+by a block less one word, then, where all of these are equal (as the blocks
+beyond have their anchors elsewhere), by ever longer stretches.
 
 Any passage of ``2 * block - 1`` words holds a whole block of its earlier
-occurrence, and the words beside the block lie within a block less one.  If all
+occurrence.  If all
 blocks of that content have the same words beside them, the anchor does for all.
 A content whose blocks differ in them is *mixed*: the passage may go on as
 another block of it does, not as the anchor.  So all windows of
@@ -23,17 +25,20 @@ a stretch being repeats of a document that overlap or touch.
 Windows travel packed: all windows of a batch that fall in one hash bucket are
 one row of byte planes (5 bytes of hash, then document and position as steps),
 about 7 bytes a window.  Each bucket keeps its blocks in memory and streams
-its windows.  Hits are told by 40 bits and the bucket; runs are then compared by
-a second hash of all their words, and extended by 64-bit word hashes.
+its windows.  Blocks also carry a second hash of 64 bits, so that contents whose
+40 bits agree keep an anchor each; a window hits all of them, and runs are then
+compared by a second hash of all their words, and extended by 64-bit word hashes.
 
 Defined results: null and empty texts and null doc_ids have no repeats (and
 stay, in :func:`cut_repeats`); within one document a repeat must not overlap its
 anchor; rows that repeat a doc_id are one document, the first by text.  The
-earliest occurrence always stays.  Other columns are ignored, or passed on.
+earliest occurrence always stays.  doc_ids must be integers, whose order says
+what is earlier.  Other columns are ignored, or passed on, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +46,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written, partitions
+from ._spark import discard, free_name, partitions, written
 from ._text import NONSPACE, find_words, mix, prefix_hash, slices, span_hash
 
 BLOCK, MIN_WORDS, BATCH = 25, 50, 8 << 20
 LOW40 = np.uint64((1 << 40) - 1)
+SECOND = np.uint64(0x1F83D9ABFB41BD6B)
 
 
 def beside(g: np.ndarray, inv: np.ndarray, start: np.ndarray, block: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -95,8 +101,9 @@ def _emit(parts: int, block: int):
             bucket = (h >> np.uint64(40)).astype(np.int64) % parts
             ids = b.column("doc_id").to_numpy()
             cuts = np.flatnonzero(pos % block == 0)
-            around = np.zeros(len(doc), np.uint64)
-            around[cuts] = beside(g, inv, start[cuts], block, w.off[doc[cuts]], w.off[doc[cuts] + 1])
+            around = np.zeros((len(doc), 2), np.uint64)  # the words beside a block, and the second hash of its own
+            around[cuts, 0] = beside(g, inv, start[cuts], block, w.off[doc[cuts]], w.off[doc[cuts] + 1])
+            around[cuts, 1] = span_hash(*prefix_hash(mix(w.hashes() ^ SECOND)), start[cuts], start[cuts] + block)
             rows: list[tuple] = []
             for kind, sel in ((0, cuts), (1, None)):
                 bk = bucket if sel is None else bucket[sel]
@@ -137,26 +144,30 @@ def _probe(block: int):
             for kind, docs, raw, around in zip(b.column("kind").to_pylist(), b.column("docs").to_pylist(), b.column("packed").to_pylist(), b.column("around").to_pylist(), strict=True):
                 part = _decode(docs, raw)
                 if kind == 0:
-                    blocks.append((*part, np.frombuffer(around, np.uint64)))
+                    blocks.append((*part, np.frombuffer(around, np.uint64).reshape(-1, 2)))
                     continue
                 if index is None and blocks:
                     h, d, p, c = (np.concatenate([x[i] for x in blocks]) for i in range(4))
-                    order = np.lexsort((p, d, h))
-                    cut = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
-                    first = order[cut]
-                    differs = c[order] != np.repeat(c[first], np.diff(np.append(cut, len(order))))
-                    index = h[first], d[first], p[first], np.maximum.reduceat(differs, cut)
+                    order = np.lexsort((p, d, c[:, 1], h))
+                    h, d, p, c = h[order], d[order], p[order], c[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (c[1:, 1] != c[:-1, 1])
+                    cut = np.flatnonzero(new)
+                    differs = c[:, 0] != np.repeat(c[cut, 0], np.diff(np.append(cut, len(h))))
+                    index = h[cut], d[cut], p[cut], np.maximum.reduceat(differs, cut)
                     blocks = []
                 if index is not None and len(part[0]):
-                    at = np.minimum(np.searchsorted(index[0], part[0]), len(index[0]) - 1)
-                    ref, rpos = index[1][at], index[2][at]
-                    same = index[0][at] == part[0]
-                    hit = np.flatnonzero(same & ((ref < part[1]) | (ref == part[1]) & (rpos + block <= part[2])))
-                    mixed = np.flatnonzero(same & index[3][at])
+                    low, high = np.searchsorted(index[0], part[0]), np.searchsorted(index[0], part[0], side="right")
+                    many = high - low
+                    which = np.repeat(np.arange(len(many)), many)  # a window and each anchor of its 40 bits
+                    at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(which))
+                    doc, pos, ref, rpos = part[1][which], part[2][which], index[1][at], index[2][at]
+                    hit = np.flatnonzero((ref < doc) | (ref == doc) & (rpos + block <= pos))
+                    mixed = np.flatnonzero(index[3][at])
                     if len(hit) or len(mixed):
                         both = np.concatenate([hit, mixed])
                         none = np.arange(len(both)) >= len(hit)
-                        yield pa.RecordBatch.from_arrays([pa.array(part[1][both]), pa.array(part[2][both].astype(np.int32)), pa.array(ref[both], mask=none), pa.array(rpos[both].astype(np.int32), mask=none)], ["doc", "pos", "ref", "rpos"])
+                        yield pa.RecordBatch.from_arrays([pa.array(doc[both]), pa.array(pos[both].astype(np.int32)), pa.array(ref[both], mask=none), pa.array(rpos[both].astype(np.int32), mask=none)], ["doc", "pos", "ref", "rpos"])
 
     return run
 
@@ -225,14 +236,43 @@ def _probe_long(block: int):
     return run
 
 
-def _contexts(block: int):
-    """For each wanted (start, end) of a text: the hash of its words and the word hashes before and after it, nearest first."""
+def _runs(block: int):
+    """Spans of hits, sorted by document, ref, shift and position, that follow each other within a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last span so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, ref, shift, pos = (b.column(c).to_numpy().astype(np.int64) for c in ("doc", "ref", "shift", "pos"))
+            end = pos + block
+            if held is not None:
+                doc, ref, shift, pos, end = (np.concatenate([[x], y]) for x, y in zip(held, (doc, ref, shift, pos, end), strict=True))
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(doc)) - 1
+            spans = doc[first], ref[first], shift[first], pos[first], end[last]
+            held = tuple(int(x[-1]) for x in spans)
+            yield _spans([x[:-1] for x in spans])
+        if held is not None:
+            yield _spans([np.array([x]) for x in held])
+
+    return run
+
+
+def _spans(x: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32)), pa.array(x[4].astype(np.int32))], ["doc", "ref", "shift", "s", "e"])
+
+
+def _contexts(reach: int):
+    """For each wanted (start, end) of a text: the hash of its words and the ``reach`` word hashes before and after it, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = find_words(b.column("text"), NONSPACE)
             h = w.hashes()
-            g, inv = prefix_hash(mix(h ^ np.uint64(0x1F83D9ABFB41BD6B)))
+            g, inv = prefix_hash(mix(h ^ SECOND))
             want = b.column("want")
             cut = np.asarray(want.offsets)
             flat = want.values.slice(cut[0], cut[-1] - cut[0])
@@ -240,7 +280,7 @@ def _contexts(block: int):
             doc = np.repeat(np.arange(b.num_rows), np.diff(cut))
             lo, hi = w.off[doc], w.off[doc + 1]
             digest = span_hash(g, inv, np.minimum(lo + start, hi), np.minimum(lo + end, hi))
-            n_left, n_right = np.minimum(start, block - 1), np.clip(hi - lo - end, 0, block - 1)
+            n_left, n_right = np.minimum(start, reach), np.clip(hi - lo - end, 0, reach)
 
             def lists(n: np.ndarray, at) -> pa.Array:
                 off = np.concatenate([[0], np.cumsum(n)])
@@ -279,27 +319,21 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
     longer = rows.join(mixed, F.col("doc_id") == F.col("of")).select("doc_id", "text", "want").mapInArrow(_emit_long(parts, block), planes)
     hits = probed.filter("ref is not null").unionByName(longer.repartitionById(parts, "bucket").mapInArrow(_probe_long(block), hit))
 
-    # all windows below are within a document: one exchange by doc serves them
-    line = Window.partitionBy("doc", "ref", "shift").orderBy("pos")
-    breaks = F.sum((F.col("pos") - F.lag("pos", 1, -(10**9)).over(line) > block).cast("int")).over(line)
-    runs = hits.repartition("doc").withColumn("shift", F.col("pos") - F.col("rpos")).withColumn("run", breaks).groupBy("doc", "ref", "shift", "run").agg(F.min("pos").alias("s"), (F.max("pos") + block).alias("e"))
-    runs = written(runs.drop("run"))
-
-    def contexts(spans: DataFrame) -> DataFrame:
-        wanted = spans.groupBy("at").agg(F.collect_list(F.struct("s", "e", "ref", "shift")).alias("want"))
-        return _by_document(rows, parts).join(wanted, F.col("doc_id") == F.col("at")).drop("at").mapInArrow(_contexts(block), "doc long, s int, e int, ref long, shift int, digest long, before array<long>, after array<long>")
-
-    # a document has few runs of its own; of an anchor each span is asked for once, however many documents repeat it
-    own = contexts(runs.select(F.col("doc").alias("at"), "s", "e", "ref", "shift"))
-    anchors = runs.select(F.col("ref").alias("at"), (F.col("s") - F.col("shift")).alias("s"), (F.col("e") - F.col("shift")).alias("e")).distinct()
-    theirs = contexts(anchors.select("at", "s", "e", F.lit(None).cast("long").alias("ref"), F.lit(0).alias("shift")))
-    theirs = theirs.select(F.col("doc").alias("ref"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("digest").alias("digest1"), F.col("before").alias("before1"), F.col("after").alias("after1"))
-    both = own.withColumns({"rs": F.col("s") - F.col("shift"), "re": F.col("e") - F.col("shift")}).join(theirs, ["ref", "rs", "re"]).filter("digest = digest1")
-    left, right = _common(F.col("before"), F.col("before1")), _common(F.col("after"), F.col("after1"))
-    exact = both.select("doc", "ref", "shift", (F.col("s") - left).alias("s"), "e", right.alias("right"))
-    # within one document the anchor ends where the repeat begins
-    room = F.when(F.col("doc") == F.col("ref"), F.greatest(F.lit(0), F.col("s") - (F.col("e") - F.col("shift")))).otherwise(F.col("right"))
-    exact = exact.select("doc", "ref", "shift", "s", (F.col("e") + F.least("right", room)).alias("e")).repartition("doc")
+    # what follows is within a document: one exchange by doc serves it
+    lines = hits.withColumn("shift", F.col("pos") - F.col("rpos")).select("doc", "ref", "shift", "pos").repartition("doc").sortWithinPartitions("doc", "ref", "shift", "pos")
+    spans = written(lines.mapInArrow(_runs(block), "doc long, ref long, shift int, s int, e int"))
+    discard(probed)
+    whole, reach = [], block - 1
+    texts = _by_document(rows, parts)
+    while True:
+        grown = written(_extended(texts, spans, reach))
+        discard(spans)
+        whole.append(grown.filter("not more").drop("more"))
+        spans = grown.filter("more").drop("more")
+        if spans.isEmpty():
+            break
+        spans, reach, texts = written(spans), 8 * reach, rows  # few are left: their texts needn't be exchanged
+    exact = functools.reduce(DataFrame.unionByName, whole).repartition("doc")
 
     def merged(df: DataFrame, keys: list[str], name: str, touch: int) -> DataFrame:
         by = Window.partitionBy(*keys).orderBy("s", "e")
@@ -312,6 +346,26 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
     return out.select(F.col("doc").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), (F.col("e") - F.col("s")).alias("n_words"), F.col("ref").alias("ref_doc_id"), (F.col("s") - F.col("shift")).alias("ref_start_word"), F.col("ss").alias("stretch_start"), F.col("se").alias("stretch_end"))
 
 
+def _extended(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    """The ``spans`` whose words are equal, longer by what is equal within ``reach`` words each way; ``more``: whether all of these are, on a side."""
+    own = _asked(texts, spans.select(F.col("doc").alias("at"), "s", "e", "ref", "shift"), reach)
+    # of an anchor each span is asked for once, however many documents repeat it
+    anchors = spans.select(F.col("ref").alias("at"), (F.col("s") - F.col("shift")).alias("s"), (F.col("e") - F.col("shift")).alias("e")).distinct()
+    theirs = _asked(texts, anchors.select("at", "s", "e", F.lit(None).cast("long").alias("ref"), F.lit(0).alias("shift")), reach)
+    theirs = theirs.select(F.col("doc").alias("ref"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("digest").alias("digest1"), F.col("before").alias("before1"), F.col("after").alias("after1"))
+    both = own.withColumns({"rs": F.col("s") - F.col("shift"), "re": F.col("e") - F.col("shift")}).join(theirs, ["ref", "rs", "re"]).filter("digest = digest1")
+    found = both.select("doc", "ref", "shift", "s", "e", _common(F.col("before"), F.col("before1")).alias("left"), _common(F.col("after"), F.col("after1")).alias("right"))
+    # within one document the anchor ends where the repeat begins
+    room = F.when(F.col("doc") == F.col("ref"), F.greatest(F.lit(0), F.col("s") - F.col("left") - (F.col("e") - F.col("shift")))).otherwise(F.col("right"))
+    more = (F.col("left") == reach) | (F.col("right") == reach) & (room >= F.col("right"))
+    return found.select("doc", "ref", "shift", (F.col("s") - F.col("left")).alias("s"), (F.col("e") + F.least("right", room)).alias("e"), more.alias("more"))
+
+
+def _asked(texts: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    wanted = spans.groupBy("at").agg(F.collect_list(F.struct("s", "e", "ref", "shift")).alias("want"))
+    return texts.join(wanted, F.col("doc_id") == F.col("at")).drop("at").mapInArrow(_contexts(reach), "doc long, s int, e int, ref long, shift int, digest long, before array<long>, after array<long>")
+
+
 def _by_document(docs: DataFrame, parts: int) -> DataFrame:
     """The documents by doc_id, so that several joins share one exchange."""
     return docs.repartition(parts, "doc_id")
@@ -320,23 +374,26 @@ def _by_document(docs: DataFrame, parts: int) -> DataFrame:
 def cut_repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, parts: int | None = None) -> DataFrame:
     """``docs``, with all their columns, without the stretches that repeat earlier text; ``n_chars`` is set anew, and a document of which nothing is left goes."""
     parts = parts or partitions(docs.sparkSession)
-    cuts = repeats(docs, block, min_words, parts).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("stretch_start").alias("s"), F.col("stretch_end").alias("e"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
-    same = F.col("doc_id") == F.col("__id")
+    cut_id, cut, first = (free_name(docs, x) for x in ("__id", "__cut", "__first"))
+    cuts = repeats(docs, block, min_words, parts).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("stretch_start").alias("s"), F.col("stretch_end").alias("e"))).alias(cut)).withColumnRenamed("doc_id", cut_id)
+    same = F.col("doc_id") == F.col(cut_id)
     rows = docs.filter("doc_id is not null and text is not null")
     twice = rows.groupBy("doc_id").count().filter("count > 1")
     if not twice.isEmpty():  # the spans are those of the first text
-        first = rows.groupBy("doc_id").agg(F.min("text").alias("__first")).withColumnRenamed("doc_id", "__of")
-        cuts = cuts.join(first, F.col("__id") == F.col("__of")).drop("__of")
-        same = same & (F.col("text") == F.col("__first"))
-    joined = _by_document(docs, parts).join(cuts, same, "left").drop("__id")
+        of = free_name(docs, "__of")
+        texts = rows.groupBy("doc_id").agg(F.min("text").alias(first)).withColumnRenamed("doc_id", of)
+        cuts = cuts.join(texts, F.col(cut_id) == F.col(of)).drop(of)
+        same = same & (F.col("text") == F.col(first))
+    with_id = docs.filter(F.col("doc_id").isNotNull())
+    joined = _by_document(with_id, parts).join(cuts, same, "left").drop(cut_id)
     names = docs.columns
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, cut, keep = b.column("text").to_pylist(), b.column("__cut").to_pylist(), []
+            texts, spans_of, keep = b.column("text").to_pylist(), b.column(cut).to_pylist(), []
             chars = b.column("n_chars").to_pylist() if "n_chars" in names else None
-            for i, spans in enumerate(cut):
+            for i, spans in enumerate(spans_of):
                 left = True
                 if spans:
                     texts[i] = without(texts[i], sorted((x["s"], x["e"]) for x in spans))
@@ -346,13 +403,13 @@ def cut_repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS,
                 keep.append(left)
             cols = []
             for f in b.schema:
-                if f.name == "__cut":
+                if f.name == cut:
                     continue
                 new = {"text": texts, "n_chars": chars}.get(f.name)
                 cols.append(b.column(f.name) if new is None else pa.array(new, f.type))
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
-    return joined.select(*names, "__cut").mapInArrow(run, schema)
+    return joined.select(*names, cut).mapInArrow(run, schema).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
