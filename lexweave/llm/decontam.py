@@ -1,37 +1,37 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages of ``passage`` words; consecutive ones overlap
-by half.  Passages and benchmark items are TF-IDF vectors over the benchmark's
-words (a word that no item has can't add to a product with an item), hashed to
-at most ``2**bits`` terms; document frequencies are counted over the passages of
-all documents.  A randomised SVD of the whole passage matrix A (Nystroem form
-of Halko, Martinsson and Tropp 2011) needs one pass: each task multiplies its
-rows, A'(A G) with a random G of ``rank`` + ``over`` columns, the products are
-summed, and the driver factors the small result into the right singular
-vectors V.  The cosine of a passage and an item in their space is reported.
-
-It excludes nothing: a short item fills a part of its passage only, and the
-other words pull the cosine down however exact the copy is.  Candidates are all
-pairs in which enough of the item's words stand near the passage, whatever
-their order, which bounds the subsequence below from above.  So no pair is lost
-that comparing all passages with all items would find, and which pairs are
-found doesn't depend on the vocabulary or on ``cosine``, which is still
-accepted.
+by half.  A passage is a TF-IDF vector over all words, hashed to ``2**bits``
+terms; the document frequencies are counted over the passages of all documents.
+A randomised SVD of the whole passage matrix A (Nystroem form of Halko,
+Martinsson and Tropp 2011) takes one pass: each task multiplies its rows,
+A'(A G) with a random G of ``rank`` + ``over`` columns, the products are summed,
+and the driver factors the small result into the right singular vectors V.
+There is one space for all items, however many.
+
+Candidates are found in two ways.  First, all pairs of a passage and an item in
+which a share of ``lcs`` of the item's words stand near the passage, in any
+order: a bound of the subsequence below, so of the pairs that comparing
+everything with everything would find none is lost.  (A cosine alone loses
+them: a short item fills a part of its passage only, and the other words pull
+the cosine down however exact the copy is.)  Second, paraphrases: pairs whose
+cosine in the latent space is at least ``cosine``, of which a share of ``loose``
+of the words, and of ``told`` of the answer, is asked only.
 
 A candidate is verified on words: the longest common subsequence of the item
 and the passage with ``len(item)`` words on both sides must have ``lcs`` of the
 item's words, and of its answer (its last sentence, or its last third if it has
-but one) a share of ``answer``; or ``sure`` of the item's words.  So items whose
-wording has changed in part are found too.
+but one) a share of ``answer``; or ``sure`` of the item's words; or be a
+paraphrase as above.
 
-A benchmark of more than ``chunk`` items is worked off in chunks, a pass each,
-so what is sent to the tasks has a bound.  The pairs and their words are the
-same for any ``chunk``; only the reported cosine is that of the chunk's space.
+Items of more than ``chunk`` are looked for in parts, a pass each, so what is
+sent to the tasks has a bound; the result is the same for any ``chunk``.
 
-Defined results: null and empty texts and items match nothing; items of fewer
-than ``least`` words are skipped, since they say nothing; of several passages
-of a document that match an item the best is reported (ties: the first);
-repeated rows are each answered; other columns are ignored, or passed on.
+Defined results: null and empty texts and items match nothing; an item of
+fewer than ``RUN`` words must stand as it is, its words in a row, since a
+subsequence of so few says nothing; of several passages of a document that
+match an item the best is reported (ties: the first); repeated rows are each
+answered; ids may be of any type; other columns are ignored, or passed on.
 """
 
 from __future__ import annotations
@@ -43,21 +43,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._text import Words, find_words, slices
+from ._spark import id_type
+from ._text import M1, Words, find_words, mix, slices
 
-BITS, RANK, OVER, PASSAGE, COSINE, LCS, ANSWER, SURE, LEAST, CHUNK, SEED = 16, 64, 16, 64, 0.5, 0.65, 0.5, 0.85, 5, 2000, 5
+BITS, RANK, OVER, PASSAGE, COSINE, LCS, ANSWER, SURE, LOOSE, TOLD, CHUNK, SEED = 15, 64, 16, 64, 0.85, 0.65, 0.5, 0.85, 0.55, 0.8, 2000, 5
+#: items of fewer words must stand as they are; words of the items of a chunk, in characters; words worked off at once
+RUN, CHUNK_CHARS, BLOCK = 5, 4 << 20, 1 << 14
+
+
+def run_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` words in a row."""
+    out = h[: max(0, len(h) - n + 1)].copy()
+    for k in range(1, n):
+        out = mix(out * M1) + h[k : len(h) - n + 1 + k]
+    return mix(out)
 
 
 class Items:
-    """Benchmark items as word hashes, with their terms."""
+    """Benchmark items as word hashes, with their terms; those of fewer than ``RUN`` words apart, in ``runs``."""
 
-    def __init__(self, rows: list[tuple], least: int, bits: int):
+    def __init__(self, rows: list[tuple], bits: int = 16):
         self.ids, self.words, self.answer_from, self.keys = [], [], [], []
+        self.runs: dict[int, dict[int, list]] = {}
         for key, text in rows:
             w = find_words(pa.array([text]), lower=True)
             h = w.hashes()
-            if len(h) < least:
+            if len(h) < RUN:
+                if len(h):
+                    self.runs.setdefault(len(h), {}).setdefault(int(run_hash(h, len(h))[0]), []).append((key, h))
                 continue
             body = (text or "").rstrip()
             ends = [m.end() for m in re.finditer(r"[.!?:]\s+", body)]
@@ -88,12 +103,12 @@ class Items:
         hit = np.flatnonzero(self.vocab[at] == h)
         return hit, self.term_of[at[hit]]
 
-    def overlap(self, half: np.ndarray, term: np.ndarray, n_halves: int, least: float):
+    def overlap(self, half: np.ndarray, term: np.ndarray, n_halves: int, least: float, enough: float):
         """What bounds the words that an item shares with a range of halves.
 
         The terms most frequent here are looked up as present or not, the others
         are summed by half.  The result gives, of passages base..top - 1, the
-        (passage, item) whose bound reaches a share of ``least``.
+        (passage, item) whose bound reaches a share of ``least``, and whether it reaches ``enough``.
         """
         often = np.bincount(term, minlength=self.n_terms)
         place = np.full(self.n_terms, -1)
@@ -111,15 +126,15 @@ class Items:
         size = self.from_term[term + 1] - self.from_term[term]
         at = np.repeat(self.from_term[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(term) else np.zeros(0, np.int64)
         half, item, rare_times = np.repeat(half, size), self.holders[at], self.times[at]
-        need = np.ceil(least * self.sizes - 1e-9).astype(np.float32)
+        need, plenty = (np.ceil(x * self.sizes - 1e-9).astype(np.float32) for x in (least, enough))
 
-        def near(base: int, top: int, low: int, high: int, step: int, lo_doc: np.ndarray, hi_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def near(base: int, top: int, low: int, high: int, step: int, lo_doc: np.ndarray, hi_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             s, e = np.searchsorted(half, low), np.searchsorted(half, high)
             sums = np.bincount((half[s:e] - low + 1) * width + item[s:e], rare_times[s:e], minlength=(high - low + 1) * width)
             sums = np.cumsum(sums.reshape(-1, width), axis=0).astype(np.float32)
             reach = -(-self.sizes // step) * (1 << 20) + -(-2 * self.sizes // step)
             p = np.arange(base, top)
-            rows, cols = [], []
+            rows, cols, strong = [], [], []
             for c in np.unique(reach):  # items of like length have the same range
                 mine = np.flatnonzero(reach == c)
                 from_, to = np.maximum(lo_doc[base:top], p - (c >> 20)), np.minimum(hi_doc[base:top], p + 2 + (c & (1 << 20) - 1))
@@ -129,9 +144,10 @@ class Items:
                 r, k = np.nonzero(bound >= need[mine])
                 rows.append(r)
                 cols.append(mine[k])
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
+                strong.append(bound[r, k] >= plenty[mine[k]])
+            rows, cols, strong = np.concatenate(rows), np.concatenate(cols), np.concatenate(strong)
             order = np.lexsort((cols, rows))
-            return rows[order] + base, cols[order]
+            return rows[order] + base, cols[order], strong[order]
 
         return near
 
@@ -165,50 +181,49 @@ def sparse(items: Items, w: Words, passage: int, h: np.ndarray | None = None) ->
     return pairs // items.n_terms, pairs % items.n_terms, count, first, owner
 
 
-DENSE, COMMON, CHUNK_ROWS = 256, 64, 2048
-
-
-class Sparse:
-    """A matrix of halves by terms: the ``DENSE`` terms with most entries as columns of a dense block, which BLAS multiplies, the others as (row, term, value)."""
+COMMON, CHUNK_ROWS = 64, 2048
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
-        self.shape = shape
-        often = np.bincount(term, minlength=shape[1])
-        self.top = np.sort(np.argpartition(-often, DENSE)[:DENSE]) if shape[1] > DENSE else np.arange(shape[1])
-        place = np.full(shape[1], -1)
-        place[self.top] = np.arange(len(self.top))
-        at = place[term]
-        dense = at >= 0
-        self.block = np.zeros((shape[0], len(self.top)), np.float32)
-        self.block[row[dense], at[dense]] = value[dense]
-        self.row, self.term, self.value = row[~dense], term[~dense], value[~dense].astype(np.float32)[:, None]
 
-    def times(self, m: np.ndarray) -> np.ndarray:
-        out = self.block @ m[self.top]
-        cut = np.flatnonzero(np.diff(self.row, prepend=-1))
-        if len(cut):
-            out[self.row[cut]] += np.add.reduceat(self.value * m[self.term], cut, axis=0)
-        return out
+def terms_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The term of each word."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-    def transposed_times(self, m: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.shape[1], m.shape[1]), np.float32)
-        out[self.top] = self.block.T @ m
-        order = np.argsort(self.term.astype(np.uint32), kind="stable")
-        t = self.term[order]
-        cut = np.flatnonzero(np.diff(t, prepend=-1))
-        if len(cut):
-            out[t[cut]] += np.add.reduceat(self.value[order] * m[self.row[order]], cut, axis=0)
-        return out
 
-
-def _frequencies(items: Items, passage: int):
+def halves_of(w: Words, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First half of each document, the document of each half, and where the words of each half begin (and end)."""
+    first, owner = half_passages(w.off, passage)
+    return first, owner, np.append(w.off[owner] + (np.arange(len(owner)) - first[owner]) * (passage // 2), len(w.start))
+
+
+def passage_frequencies(w: Words, passage: int, bits: int) -> tuple[np.ndarray, int]:
+    """In how many passages of these texts each term stands, and how many passages there are."""
+    first, owner, start = halves_of(w, passage)
+    if not len(owner):
+        return np.zeros(2**bits, np.int64), 0
+    n = len(owner) + w.n_docs + 1
+    half = np.repeat(np.arange(len(owner)), np.diff(start))
+    keys = np.unique(terms_of(w.hashes(), bits) * n + half + owner[half])  # with a gap between documents
+    term, half = keys // n, keys % n
+    # a term of a half is in the passage that begins with it, and in the one before; the last half begins none unless it is alone
+    place = np.arange(len(owner)) + owner
+    begins, ends = np.zeros(n, bool), np.zeros(n, bool)
+    alone = np.diff(first)[owner] == 1
+    ends[place] = np.arange(len(owner)) > first[owner]
+    begins[place] = (np.arange(len(owner)) + 1 < first[owner + 1]) | alone
+    both = np.zeros(len(keys), bool)
+    both[1:] = np.diff(keys) == 1  # also in the half before: one passage holds both
+    return np.bincount(term, begins[half].astype(np.int64) + ends[half] - both, minlength=2**bits).astype(np.int64), int(begins.sum())
+
+
+def _frequencies(passage: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(items.n_terms + 1, np.int64)
+        df = np.zeros(2**bits + 1, np.int64)
         for b in slices(batches, "text"):
-            half, term, _, _, owner = sparse(items, find_words(b.column("text"), lower=True), passage)
-            df[:-1] += np.bincount(term, minlength=items.n_terms)
-            df[-1] += len(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], ["term", "df"])
+            mine, n = passage_frequencies(find_words(b.column("text"), lower=True), passage, bits)
+            df[:-1] += mine
+            df[-1] += n
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["term", "df"])
 
     return run
 
@@ -217,20 +232,54 @@ def gaussian(n: int, k: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, k)).astype(np.float32)
 
 
-def _sketch(items: Items, idf: np.ndarray, k: int, seed: int, passage: int):
-    """Each task's share of A'(A G), a row a term.  Here halves are the rows of A: they hold each word once."""
+def half_sums(term: np.ndarray, start: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``m`` of each half's terms; no half is empty."""
+    out = np.empty((len(start) - 1, m.shape[1]), np.float32)
+    at = 0
+    while at < len(out):
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + BLOCK, side="right")) - 1)
+        out[at:stop] = np.add.reduceat(m[term[start[at] : start[stop]]], start[at:stop] - start[at], axis=0)
+        at = stop
+    return out
+
+
+def product(w: Words, passage: int, weighted: np.ndarray, total: np.ndarray) -> None:
+    """Adds H'S'(S H ``weighted``) to ``total``, with H the halves' term counts and S the sum of a half and the next, so that S H has a row a passage."""
+    bits = len(weighted).bit_length() - 1
+    first, owner, start = halves_of(w, passage)
+    if not len(owner):
+        return
+    term = terms_of(w.hashes(), bits)
+    x = half_sums(term, start, weighted)
+    follows = np.flatnonzero(owner[1:] == owner[:-1])
+    y = np.zeros_like(x)  # a passage, at its first half
+    y[follows] = x[follows] + x[follows + 1]
+    alone = np.diff(first)[owner] == 1
+    y[alone] = x[alone]
+    z = y.copy()
+    z[follows + 1] += y[follows]
+    at = 0
+    while at < len(owner):
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + BLOCK, side="right")) - 1)
+        mine = term[start[at] : start[stop]]
+        order = np.argsort(mine.astype(np.uint16) if bits <= 16 else mine, kind="stable")
+        half = np.repeat(np.arange(at, stop), np.diff(start[at : stop + 1]))[order]
+        mine = mine[order]
+        cut = np.flatnonzero(np.diff(mine, prepend=-1))
+        total[mine[cut]] += np.add.reduceat(z[half], cut, axis=0)
+        at = stop
+
+
+def _sketch(idf: np.ndarray, k: int, seed: int, passage: int):
+    """Each task's share of A'(A G), a row a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = gaussian(items.n_terms, k, seed)
-        total = np.zeros((items.n_terms, k))
+        weighted = gaussian(len(idf), k, seed) * idf[:, None].astype(np.float32)
+        total = np.zeros((len(idf), k))
         for b in slices(batches, "text"):
-            half, term, count, _, owner = sparse(items, find_words(b.column("text"), lower=True), passage)
-            if not len(half):
-                continue
-            a = Sparse(half, term, count * idf[term], (len(owner), items.n_terms))
-            total += a.transposed_times(a.times(g))
+            product(find_words(b.column("text"), lower=True), passage, weighted, total)
         used = np.flatnonzero(total.any(axis=1))
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * k), pa.array(total[used].astype(np.float32).ravel()))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * k), pa.array((total[used] * idf[used, None]).astype(np.float32).ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), rows], ["term", "y"])
 
     return run
@@ -267,118 +316,139 @@ def singular_vectors(y: np.ndarray, g: np.ndarray, rank: int) -> np.ndarray:
     return u[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype(np.float32)
 
 
-class Model:
-    """What the tasks of the search need: items, weights and the latent space."""
-
-    def __init__(self, items: Items, idf: np.ndarray, v: np.ndarray):
-        self.items = items
-        self.space = (idf[:, None] * v).astype(np.float32)
-        q = np.zeros((len(items.ids), self.space.shape[1]), np.float32)
-        for i, h in enumerate(items.words):
-            _, term = items.find(h)
-            q[i] = self.space[term].sum(axis=0)
-        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-    def cosines(self, at: np.ndarray, item: np.ndarray, half: np.ndarray, term: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Cosine of each item and the passage whose first half is ``at``, in the latent space."""
-        second = np.minimum(at + 1, len(owner) - 1)
-        follows = (second > at) & (owner[second] == owner[at])
-        used = np.unique(np.concatenate([at, second[follows]]))
-        place = np.full(len(owner), -1)
-        place[used] = np.arange(len(used))
-        mine = place[half] >= 0
-        x = Sparse(place[half[mine]], term[mine], count[mine], (len(used), self.items.n_terms)).times(self.space)
-        whole = x[place[at]]
-        whole[follows] += x[place[second[follows]]]
-        whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
-        return (whole * self.q[item]).sum(axis=1)
-
-
-def train(docs: DataFrame, rows: list[tuple], bits: int = BITS, rank: int = RANK, over: int = OVER, passage: int = PASSAGE, least: int = LEAST, seed: int = SEED) -> Model | None:
-    """The latent space of all passages of ``docs`` over the terms of the items."""
-    items = Items(rows, least, bits)
-    if not items.ids:
-        return None
+def train(docs: DataFrame, bits: int = BITS, rank: int = RANK, over: int = OVER, passage: int = PASSAGE, seed: int = SEED) -> np.ndarray:
+    """The latent space of all passages of ``docs``: what a term adds to a passage's place in it (2**bits rows)."""
     text = docs.select("text")
-    df = np.zeros(items.n_terms + 1)
-    for r in text.mapInArrow(_frequencies(items, passage), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # at most 2**bits
+    df = np.zeros(2**bits + 1)
+    for r in text.mapInArrow(_frequencies(passage, bits), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # at most 2**bits
         df[r["term"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    k = min(rank + over, items.n_terms)
-    y = np.zeros((items.n_terms, k))
-    parts = text.mapInArrow(_sketch(items, idf, k, seed, passage), "term int, y array<float>").repartition("term").mapInArrow(_summed(k), "term int, y array<float>")
+    k = rank + over
+    y = np.zeros((2**bits, k))
+    parts = text.mapInArrow(_sketch(idf, k, seed, passage), "term int, y array<float>").repartition("term").mapInArrow(_summed(k), "term int, y array<float>")
     for batch in parts.toArrow().to_batches():
         if batch.num_rows:
             y[batch.column("term").to_numpy()] += batch.column("y").flatten().to_numpy().reshape(-1, k)
-    return Model(items, idf, singular_vectors(y, gaussian(items.n_terms, k, seed).astype(float), rank))
-
+    v = singular_vectors(y, gaussian(2**bits, k, seed).astype(float), rank)
+    return (idf[:, None] * v).astype(np.float32)
 
-def search(model: Model, texts: pa.Array, passage: int, cosine: float, lcs: float, answer: float, sure: float) -> list[tuple[int, int, int, int, float, float]]:
-    """(text, item, first word, end word, cosine, share of the item in order) of each text and item that match.
 
-    Every pair goes to the subsequence in which enough of the item's words stand
-    near the passage, which bounds the subsequence from above; ``cosine``
-    excludes none.
-    """
+class Model:
+    """What the tasks of the search need: items and the latent space."""
+
+    def __init__(self, items: Items, space: np.ndarray):
+        self.items, self.space = items, space
+        self.bits = len(space).bit_length() - 1
+        self.q = np.array([self.place(h) for h in items.words]).reshape(len(items.words), space.shape[1])
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        x = self.space[terms_of(h, self.bits)].sum(axis=0)
+        return x / max(float(np.linalg.norm(x)), 1e-12)
+
+    def places(self, at: np.ndarray, h: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Places of the passages whose first halves are ``at``, of length 1."""
+        last = np.minimum(at + 1, len(owner) - 1)
+        end = np.where(owner[last] == owner[at], start[last + 1], start[at + 1])
+        out = np.empty((len(at), self.space.shape[1]), np.float32)
+        for i in range(0, len(at), 256):
+            a, n = start[at[i : i + 256]], (end - start[at])[i : i + 256]
+            words = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[i : i + 256] = np.add.reduceat(self.space[terms_of(h[words], self.bits)], np.cumsum(n) - n, axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def search(model: Model, texts: pa.Array, passage: int = PASSAGE, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, sure: float = SURE, loose: float = LOOSE, told: float = TOLD) -> list[tuple]:
+    """(text, item_id, first word, end word, cosine, share of the item in order) of each text and item that match."""
     items = model.items
     w = find_words(texts, lower=True)
     h = w.hashes()
-    half, term, count, first, owner = sparse(items, w, passage, h)
-    if not len(half):
+    first, owner, start = halves_of(w, passage)
+    if not len(owner):
         return []
-    best: dict[tuple[int, int], tuple] = {}
     step = passage // 2
-    reach = -(-2 * items.longest // step) + 2
-    near = items.overlap(half, term, len(owner), min(lcs, sure))
-    lo_doc, hi_doc = first[owner], first[owner + 1]
-    for i in range(0, len(owner), CHUNK_ROWS):
-        top = min(len(owner), i + CHUNK_ROWS)
-        p, q = near(i, top, max(0, i - reach), min(len(owner), top + reach), step, lo_doc, hi_doc)
-        for pp, qq in zip(p.tolist(), q.tolist(), strict=True):
-            d = int(owner[pp])
-            size = len(items.words[qq])
-            a = max(int(w.off[d]), int(w.off[d]) + (pp - int(first[d])) * step - size)
-            b = min(int(w.off[d + 1]), a + passage + 2 * size)
-            used = items.matched(qq, h[a:b].tolist())
-            share = used.bit_count() / size
-            of_answer = (used >> items.answer_from[qq]).bit_count() / (size - items.answer_from[qq])
-            if (share >= sure or share >= lcs and of_answer >= answer) and ((d, qq) not in best or share > best[d, qq][0]):
-                best[d, qq] = (share, pp, a - int(w.off[d]), b - int(w.off[d]))
-    if not best:
-        return []
-    keys = sorted(best)
-    at = np.array([best[k][1] for k in keys])
-    cos = model.cosines(at, np.array([k[1] for k in keys]), half, term, count, owner)
-    return [(*k, best[k][2], best[k][3], float(c), best[k][0]) for k, c in zip(keys, cos, strict=True)]
+    best: dict[tuple, tuple] = {}  # by text and number of the item: share, place, first and end word, cosine
+
+    def close(at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        used, which = np.unique(at, return_inverse=True)
+        return (model.places(used, h, owner, start)[which] * model.q[q]).sum(axis=1)
+
+    if items.ids:
+        half, term, _, _, _ = sparse(items, w, passage, h)
+        strict = min(lcs, sure)
+        reach = -(-2 * items.longest // step) + 2
+        near = items.overlap(half, term, len(owner), min(strict, loose), strict)
+        lo_doc, hi_doc = first[owner], first[owner + 1]
+        rows = max(64, min(CHUNK_ROWS, (4 << 20) // len(items.ids)))
+        for i in range(0, len(owner) if len(half) else 0, rows):
+            top = min(len(owner), i + rows)
+            p, q, strong = near(i, top, max(0, i - reach), min(len(owner), top + reach), step, lo_doc, hi_doc)
+            cos = np.full(len(p), np.nan)
+            weak = np.flatnonzero(~strong)
+            cos[weak] = close(p[weak], q[weak])
+            keep = np.flatnonzero(strong | (cos >= cosine))
+            for pp, qq, c in zip(p[keep].tolist(), q[keep].tolist(), cos[keep].tolist(), strict=True):
+                d = int(owner[pp])
+                size = len(items.words[qq])
+                a = max(int(w.off[d]), int(w.off[d]) + (pp - int(first[d])) * step - size)
+                b = min(int(w.off[d + 1]), a + passage + 2 * size)
+                used = items.matched(qq, h[a:b].tolist())
+                share = used.bit_count() / size
+                of_answer = (used >> items.answer_from[qq]).bit_count() / (size - items.answer_from[qq])
+                found = share >= sure or share >= lcs and of_answer >= answer
+                if not found and share >= loose and of_answer >= told:
+                    c = c if c == c else float(close(np.array([pp]), np.array([qq]))[0])
+                    found = c >= cosine
+                if found and ((d, qq) not in best or share > best[d, qq][0]):
+                    best[d, qq] = (share, pp, a - int(w.off[d]), b - int(w.off[d]))
+    out = []
+    if best:
+        keys = sorted(best)
+        cos = close(np.array([best[k][1] for k in keys]), np.array([k[1] for k in keys]))
+        out = [(k[0], items.ids[k[1]], best[k][2], best[k][3], float(c), best[k][0]) for k, c in zip(keys, cos, strict=True)]
+    for n, runs in items.runs.items():
+        r = run_hash(h, n)
+        names = np.sort(np.array(list(runs), np.uint64))
+        at = np.flatnonzero(names[np.minimum(np.searchsorted(names, r), len(names) - 1)] == r)
+        doc = np.searchsorted(w.off, at, side="right") - 1
+        inside = at + n <= w.off[doc + 1]
+        seen = set()
+        for i, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
+            if (d, r[i]) not in seen:  # the first place in each text
+                seen.add((d, r[i]))
+                here = int(first[d]) + min((i - int(w.off[d])) // step, int(first[d + 1] - first[d]) - 1)
+                place = model.places(np.array([here]), h, owner, start)[0]
+                out += [(d, key, i - int(w.off[d]), i - int(w.off[d]) + n, float(place @ model.place(x)), 1.0) for key, x in runs[int(r[i])]]
+    return out
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, chunk: int, **options) -> list[Model]:
-    """A model for each chunk of the items, in order of item_id."""
+def _models(docs: DataFrame, benchmark: DataFrame, chunk: int, passage: int, **options) -> list[Model]:
+    """A model for each part of the items; the space is the same."""
     rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    n = rows.count()
-    if n <= chunk:
-        got = [train(docs, [(r[0], r[1]) for r in rows.orderBy("item_id", "text").collect()], **options)]
-    else:
-        parts = -(-n // chunk)
-        got = []
-        for k in range(parts):
-            part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-            got.append(train(docs, [(r[0], r[1]) for r in part], **options))
-    return [m for m in got if m is not None]
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(-(-n // chunk), -(-chars // CHUNK_CHARS))
+    space, got = None, []
+    for k in range(parts):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        items = Items([(r[0], r[1]) for r in part])
+        if items.ids or items.runs:
+            space = train(docs, passage=passage, **options) if space is None else space
+            got.append(Model(items, space))
+    return got
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, sure: float = SURE, chunk: int = CHUNK, **options) -> DataFrame:
     """``doc_id, item_id, start_word, end_word, cosine, lcs`` of each document and item that it holds."""
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {ids}, item_id long, start_word int, end_word int, cosine double, lcs double"
+    item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {id_type(docs)}, item_id {item.simpleString()}, start_word int, end_word int, cosine double, lcs double"
+    item_type = to_arrow_type(item)
     out = docs.sparkSession.createDataFrame([], schema)
-    for model in _models(docs, benchmark, chunk, passage=passage, **options):
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by chunk items
+    for model in _models(docs, benchmark, chunk, passage, **options):
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * rank numbers, and a chunk of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text"):
                 got = search(shared.value, b.column("text"), passage, cosine, lcs, answer, sure)
-                cols = [b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64())), pa.array([shared.value.items.ids[g[1]] for g in got], pa.int64())]
+                cols = [b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], item_type)]
                 cols += [pa.array([g[k] for g in got], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.float64()), (5, pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start_word", "end_word", "cosine", "lcs"])
 
@@ -388,7 +458,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, sure: float = SURE, chunk: int = CHUNK, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    for model in _models(docs, benchmark, chunk, passage=passage, **options):
+    for model in _models(docs, benchmark, chunk, passage, **options):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
