@@ -1,8 +1,11 @@
 import random
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lexweave.llm import audio, htmltext, langid, license, toxicity, urlfilter
@@ -161,10 +164,80 @@ def test_html():
     assert (htmltext.decide(tree, table[:, :6]) == (table[:, 6] == 1)).mean() >= 0.9
 
 
+class Plain(HTMLParser):
+    """A second parser: blocks by the same tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.unseen, self.linked, self.quiet = [], [], 0, False, False
+
+    def flush(self):
+        if self.now:
+            self.blocks.append((" ".join(w for w, _ in self.now), len(self.now), sum(a for _, a in self.now)))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.unseen += tag in htmltext.UNSEEN
+        self.quiet = tag == "title" or self.quiet
+        self.linked = tag == "a" or self.linked
+        if tag in htmltext.BLOCK_TAGS:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.unseen -= tag in htmltext.UNSEEN
+        self.quiet = tag != "title" and self.quiet
+        self.linked = tag != "a" and self.linked
+        if tag in htmltext.BLOCK_TAGS:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.unseen and not self.quiet:
+            self.now += [(w, self.linked) for w in data.split()]
+
+
+def test_blocks_against_a_second_parser():
+    rng = random.Random(6)
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(1, 30)):
+            w = text(rng, rng.randint(0, 12))
+            parts.append(rng.choice([f"<p>{w}</p>", f"<div class='x > y'>{w}", f"<a href=\"/q?a=1&b=<2>\">{w}</a>", f"<!-- <p>{w}</p> -->", f"<script>var a = '<p>{w}</p>';</script>", f"<STYLE>p{{}}</STYLE >{w}", f"<b>{w}</b>", f"{w} &amp; &lt;b&gt;", f"</div><br>{w}", f"<title>{w}</title>", f"a < b {w}", f"<svg><path d='M0'/></svg>{w}"]))
+        page = " ".join(parts)
+        p = Plain()
+        p.feed(page)
+        p.close()
+        p.flush()
+        assert htmltext.blocks(page) == p.blocks
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"x", "<a \"x>y\"", "<", "<!--", "<!", "<script ", "</script   ", "<a '", "&", "<p>", "<p a='>", "<a b=\">\" "])
+def test_malformed_pages_take_time_by_their_length(piece):
+    """A megabyte; work that grows with the square of it would take hours."""
+    began = time.perf_counter()
+    for end in ("", ">", "'\">"):
+        htmltext.blocks(piece * (1_000_000 // len(piece)) + end)
+    assert time.perf_counter() - began < 20
+
+
+def test_the_tree_keeps_the_articles():
+    """Blocks of pages that the table doesn't have."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()[50:]
+    tree, right = htmltext.trained_tree(), []
+    for r in pages:
+        page = r["html"]
+        a, e = page.find("<article>"), page.find("</article>")
+        before, inside = len(htmltext.blocks(page[:a])), len(htmltext.blocks(page[a:e]))
+        bs = htmltext.blocks(page)
+        want = np.zeros(len(bs), bool)
+        want[before : before + inside] = True
+        right.append(htmltext.decide(tree, htmltext.features(bs)) == want)
+    assert np.concatenate(right).mean() > 0.97
+
+
 def test_html_table(spark):
-    rows = [(1, "u", "<p>" + "word " * 50000), (1, "u", "<p>" + "word " * 50000), (2, None, None), (3, "u", ""), (None, "u", "<div>x</div>")]
+    rows = [(1, "u", "<p>" + "word " * 50000), (1, "u", "<p>" + "word " * 50000), (2, None, None), (3, "u", ""), (None, "u", "<div>x</div>"), (4, "u", "<a " * 300_000)]
     got = htmltext.extract_html(with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
-    assert sorted((r["page_id"] or 0, r["n_blocks"]) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0)]
+    assert sorted((r["page_id"] or 0, r["n_blocks"]) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0), (4, 1)]
     assert htmltext.extract_html(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
