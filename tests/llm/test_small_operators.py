@@ -144,6 +144,54 @@ def test_every_template_finds_itself(spark):
     assert got >= {(i, n) for i, (n, _, _) in enumerate(license.TEMPLATES)}
 
 
+def brute_licences(words, index):
+    """All places of all phrases: a template stands where one of its phrases puts it, if all of them stand in the window of its length and slack."""
+    found = set()
+    for t, (_, _, phrases) in enumerate(index.templates):
+        places = [[i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p] for p in phrases]
+        for base in {i - at for there, at in zip(places, index.phrase_at[t], strict=True) for i in there}:
+            spans = []
+            for p, at, there in zip(phrases, index.phrase_at[t], places, strict=True):
+                inside = [i for i in there if i >= base - index.slack[t] and i + len(p) <= base + index.length[t] + index.slack[t]]
+                if inside:
+                    best = min(inside, key=lambda i: abs(i - base - at))
+                    spans.append((best, best + len(p)))
+            if len(spans) == len(phrases):
+                found.add((t, min(s[0] for s in spans), max(s[1] for s in spans)))
+    return index.best(list(found))
+
+
+def test_licences_against_brute_force():
+    rng = random.Random(12)
+    docs = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(license.TEMPLATES)[1].split()
+            kind = rng.random()
+            if kind < 0.3:  # a part of it, a word changed or left out
+                w = w[: rng.randint(1, len(w))]
+            elif kind < 0.5:
+                w[rng.randrange(len(w))] = "changed"
+            parts += [text(rng, rng.randint(0, 30)), " ".join(w)]
+        docs.append(license.words_of(" ".join(parts)))
+    df = Counter(w for d in docs for w in set(d))
+    index = license.Index(license.TEMPLATES, len(docs), df)
+    names = lambda found: [(index.templates[t][0], a, b) for t, a, b in found]
+    for d in docs:
+        assert names(index.scan(np.array([license.stable_hash(w) for w in d], np.uint64))) == names(brute_licences(d, index))
+
+
+def test_clauses_and_ties():
+    two = f"{license._BSD} {license._BSD_TWO} {license._BSD_END}"
+    three = f"{license._BSD} {license._BSD_TWO} {license._BSD_THIRD.replace('the copyright holder', 'Some Software Foundation Inc')} {license._BSD_END}"
+    twins = [("B", "one two three", ["one two three"]), ("A", "one two three", ["one two three"])]
+    for templates, t, want in ((license.TEMPLATES, two, ["BSD-2-Clause"]), (license.TEMPLATES, three, ["BSD-3-Clause"]), (license.TEMPLATES, license._BSD, ["BSD"]), (twins, "x one two three y", ["A"])):
+        index = license.Index(templates, 10, {})
+        got = index.scan(np.array([license.stable_hash(w) for w in license.words_of(t)], np.uint64))
+        assert [index.templates[k][0] for k, _, _ in got] == want
+
+
 def test_phrases_are_found_where_no_file_has_the_other_words():
     german = license.words_of("Lizenziert unter der GNU General Public License, version 3, ohne Gewähr")
     index = license.Index(license.TEMPLATES, 100, {w: 100 for w in german})
