@@ -8,7 +8,8 @@ language lacks it.  The distance is divided by ``size`` times the number of the
 document's n-grams, so it lies in [0, 1].
 
 Profiles are learnt from labelled documents, ``per_language`` of each language
-(a bound on the training sample; the first in order of md5(doc_id)).
+(a bound on the training rows; the first in order of md5(doc_id), then of the
+text's hash, each row as often as it is among them).
 
 Defined results: a text that is null, empty or without letters gets
 ``pred_lang`` null, ``distance`` 1.0 and ``rejected`` true.  Ties between
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import id_type
 from ._text import slices
 
 SIZE = 300
@@ -67,12 +69,14 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def train_profiles(docs: DataFrame, size: int = SIZE, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Profile of each language from ``per_language`` of its documents."""
     rows = docs.select(F.col("doc_id").alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text")).filter("__lang is not null and __text is not null and __id is not null")
-    order = Window.partitionBy("__lang").orderBy(F.md5(F.col("__id").cast("string")), "__id")
-    ids = rows.select("__id", "__lang").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language).collect()
-    if not ids:
-        return {}
-    wanted = docs.sparkSession.createDataFrame([(r["__id"], r["__lang"], r["__n"]) for r in ids], "i long, l string, n int")  # bounded by per_language
-    sample = rows.join(F.broadcast(wanted), (F.col("__id") == F.col("i")) & (F.col("__lang") == F.col("l"))).select("__lang", "__text")
+    order = Window.partitionBy("__lang").orderBy("__o", "__id", "__h")
+    keyed = rows.select("__id", "__lang", F.xxhash64("__text").alias("__h"), F.md5(F.col("__id").cast("string")).alias("__o"))
+    wanted = keyed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language).groupBy("__id", "__lang", "__h").agg(F.count("*").alias("__times"))
+    wanted = wanted.select(F.col("__id").alias("i"), F.col("__lang").alias("l"), F.col("__h").alias("h"), F.col("__times").alias("times"))
+    # bounded by per_language; a row that is in the table more often than in the sample counts as often as in the sample
+    found = rows.join(F.broadcast(wanted), (F.col("__id") == F.col("i")) & (F.col("__lang") == F.col("l")) & (F.xxhash64("__text") == F.col("h")))
+    once = found.groupBy("__id", "__lang", "h").agg(F.first("__text").alias("__text"), F.first("times").alias("times"))
+    sample = once.select("__lang", F.explode(F.array_repeat("__text", F.col("times").cast("int"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -83,6 +87,8 @@ def train_profiles(docs: DataFrame, size: int = SIZE, per_language: int = PER_LA
         if parts:
             yield pa.RecordBatch.from_pandas(pd.concat(parts).groupby(["lang", "key"], as_index=False)["n"].sum(), preserve_index=False)
 
+    if wanted.isEmpty():
+        return {}
     grams = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     top = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("rank") <= size)
     got = top.toPandas().sort_values(["lang", "rank"])
@@ -136,8 +142,7 @@ def _classified(docs: DataFrame, profiles: dict[str, np.ndarray], size: int, max
 
     if keep:
         return docs.mapInArrow(run, docs.schema)
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {ids}, pred_lang string, distance double, rejected boolean")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {id_type(docs)}, pred_lang string, distance double, rejected boolean")
 
 
 def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray] | None = None, size: int = SIZE, max_distance: float = MAX_DISTANCE, text: str = "text") -> DataFrame:

@@ -17,6 +17,9 @@ unless ``targets`` (source, weight) are given; the budget is ``epochs`` times th
 whole size.  Random numbers are drawn from (seed, doc_id), so a task run again
 decides the same.
 
+A doc_id may be of any type: what is rounded are numbers of 64 bits, the doc_id
+itself where it is an integer, else its hash (ids of equal hash are one document).
+
 Defined results: rows that share a doc_id are one document (sizes added, the
 least source); null doc_ids are one document; a null source is a source of its
 own; null or negative sizes count as 0, and a source of size 0 keeps one copy
@@ -32,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._spark import written, partitions
+from ._spark import free_name, id_type, partitions, written
 from ._text import mix
 
 ALPHA, EPOCHS, FAN_IN, SEED = 0.7, 1.0, 64, 20
@@ -129,7 +133,9 @@ def copies(docs: DataFrame, size: str = "n_chars", source: str = "source", alpha
     """``doc_id, source, copies`` for each document."""
     spark = docs.sparkSession
     parts = parts or partitions(spark)
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("size")).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
+    whole_ids = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    number = F.col("doc_id").cast("long") if whole_ids else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    units = docs.select(number.alias("doc_id"), F.col("doc_id").alias("id"), F.col(source).alias("source"), F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("size")).groupBy("doc_id").agg(F.min("id").alias("id"), F.min("source").alias("source"), F.sum("size").alias("size"))
     units = written(units)
     held = units.groupBy("source").agg(F.sum("size").alias("held"))
     share = held.select("source", "held", F.pow("held", F.lit(alpha)).alias("w")) if targets is None else held.join(targets.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("w")), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "held", F.coalesce("w", F.lit(0.0)).alias("w"))
@@ -159,11 +165,19 @@ def copies(docs: DataFrame, size: str = "n_chars", source: str = "source", alpha
     out = root
     for d in decided:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", (F.col("whole") + F.round("mass").cast("long")).alias("copies"))
+    out = out.select("doc_id", "source", (F.col("whole") + F.round("mass").cast("long")).alias("copies"))
+    if whole_ids:
+        return out.withColumn("doc_id", F.col("doc_id").cast(id_type(docs)))
+    names = units.select(F.col("doc_id").alias("n"), "id")
+    return out.join(names, F.col("doc_id").eqNullSafe(F.col("n"))).select(F.col("id").alias("doc_id"), "source", "copies")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all their columns, each as often as :func:`copies` says, numbered by ``copy_no`` from 0."""
-    n = copies(docs, **options).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n")).filter("__n > 0")
-    joined = docs.join(n, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("copy_no"))
+    """The documents with all their columns, each as often as :func:`copies` says, numbered by ``copy_no`` from 0 (a column of that name is set anew)."""
+    key, times = free_name(docs, "__id"), free_name(docs, "__n")
+    n = copies(docs, **options).select(F.col("doc_id").alias(key), F.col("copies").alias(times)).filter(F.col(times) > 0)
+    with_id = docs.filter(F.col("doc_id").isNotNull()).join(n, F.col("doc_id") == F.col(key))
+    # all rows without a doc_id are one document, of whose copies there is one number: no exchange by a key that they share
+    none = docs.filter(F.col("doc_id").isNull()).join(F.broadcast(n.filter(F.col(key).isNull())), F.col("doc_id").eqNullSafe(F.col(key)))
+    names = [F.col(c) for c in docs.columns if c.lower() != "copy_no"]
+    return with_id.unionByName(none).select(*names, F.explode(F.sequence(F.lit(0), F.col(times).cast("int") - 1)).alias("copy_no"))

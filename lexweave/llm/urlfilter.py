@@ -96,11 +96,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     parts = parts or partitions(spark)
     ids = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), url_key(F.col(url)).alias("key"))
-    cuts = [b.encode() for b in _bounds(rows.select("key").filter("key is not null"), parts)]
+    # what has no key takes no part in the sweep, so it meets in no range
+    invalid = rows.filter("key is null").select(F.col("id").alias(key), "url", F.lit(None).cast("long").alias("rule_id"), F.lit("invalid").alias("action"))
+    rows = rows.filter("key is not null")
+    cuts = [b.encode() for b in _bounds(rows.select("key"), parts)]
 
     @F.pandas_udf("int")
     def range_of(k):
-        return k.map(lambda x: 0 if x is None else bisect_right(cuts, x.encode())).astype("int32")
+        return k.map(lambda x: bisect_right(cuts, x.encode())).astype("int32")
 
     @F.pandas_udf("array<int>")
     def ranges_of(k):  # of the interval of a prefix; it ends before the prefix followed by the highest byte
@@ -110,7 +113,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
     prefixes = prefixes.groupBy("key").agg(F.min(F.struct((F.col("action") != "block").alias("o"), "rule_id", "action")).alias("r"))  # ties
     starts = prefixes.select(F.explode(ranges_of("key")).alias("part"), F.lit(0).alias("kind"), "key", F.lit(None).cast(ids).alias("id"), F.lit(None).cast("string").alias("url"), F.col("r.rule_id").alias("rule_id"), F.col("r.action").alias("action"))
     points = rows.select(range_of("key").alias("part"), F.lit(1).alias("kind"), "key", "id", "url", F.lit(None).cast("long").alias("rule_id"), F.lit(None).cast("string").alias("action"))
-    both = starts.unionByName(points).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "kind")
+    both = starts.unionByName(points).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "kind")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, int, str]] = []
@@ -119,11 +122,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
             rule_ids, actions = b.column("rule_id").to_pylist(), b.column("action").to_pylist()
             take, found, verdict = [], [], []
             for i, (kind, k) in enumerate(zip(kinds, keys, strict=True)):
-                if k is None:
-                    take.append(i)
-                    found.append(None)
-                    verdict.append("invalid")
-                    continue
                 while stack and not k.startswith(stack[-1][0]):
                     stack.pop()
                 if kind == 0:
@@ -135,4 +133,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", key: str =
             out = b.take(pa.array(np.array(take, np.int64)))
             yield pa.RecordBatch.from_arrays([out.column("id"), out.column("url"), pa.array(found, pa.int64()), pa.array(verdict, pa.string())], [key, "url", "rule_id", "action"])
 
-    return both.mapInArrow(sweep, f"`{key}` {ids}, url string, rule_id long, action string")
+    return both.mapInArrow(sweep, f"`{key}` {ids}, url string, rule_id long, action string").unionByName(invalid)

@@ -24,5 +24,11 @@ def documents(spark, rows):
 def with_clashes(df):
     from pyspark.sql import functions as F
 
-    names = ["key", "part", "mass", "kind", "score", "a", "b", "u", "v", "node", "root", "doc", "pos", "ref", "bucket", "digest", "copies", "rate", "url_key", "at", "want"]
+    names = ["key", "part", "mass", "kind", "score", "a", "b", "u", "v", "node", "root", "doc", "pos", "ref", "bucket", "digest", "copies", "rate", "url_key", "at", "want", "__n", "__same", "__gone", "__cut", "__id", "__h", "__lang", "__text", "__first", "i", "l", "h", "t", "copy_no"]
     return df.select("*", *[F.lit("x").alias(n) for n in names if n not in df.columns])
+
+
+def rows_of_all_kinds(rng):
+    """Rows (doc_id, text, lang, source) with nulls, empty and very long texts, repeated rows and doc_ids."""
+    base = text(rng, 120)
+    return [(1, base, "en", "a"), (1, base, "en", "a"), (1, text(rng, 90), "fr", "b"), (2, None, None, None), (3, "", "en", "a"), (None, base, "en", "a"), (None, None, None, None), (4, "?! ...", "de", "b"), (5, text(rng, 20000), "en", None), (6, base + " more", None, "a"), (7, "one", "en", "a"), (8, "one", "en", "a")]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import mixing as M
 
@@ -70,6 +71,70 @@ def test_targets_and_odd_rows(spark):
     assert M.copies(docs.limit(0)).count() == 0 and M.mix_documents(docs.limit(0)).count() == 0
 
 
+def plain(data, rate, parts, fan_in, seed, part_of):
+    """The same rounding, document by document."""
+    def spin(rows, s):
+        """(doc, mass) in order: the decided ones, and what is left."""
+        done, held = {}, None
+        for d, m in rows:
+            if m < 1e-9 or m > 1 - 1e-9:
+                done[d] = round(m)
+            elif held is None:
+                held = (d, m)
+            else:
+                x, y = M.fight(held[1], m, float(M.uniform(np.array([d]), s)[0]))
+                pair = [(held[0], x), (d, y)]
+                held = next(((d, m) for d, m in pair if 1e-9 < m < 1 - 1e-9), None)
+                done |= {d: round(m) for d, m in pair if held is None or d != held[0]}
+        return done, held
+
+    done, left = {}, {}
+    for p in range(parts):
+        for s in {s for _, _, _, s in data}:
+            mine = sorted((d, rate[s] - int(rate[s])) for d, _, _, x in data if x == s and part_of[d] == p)
+            got, held = spin(mine, seed)
+            done |= got
+            if held:
+                left.setdefault(p, []).append((s, *held))
+    groups, depth = parts, 0
+    while True:
+        last, depth = groups == 1, depth + 1
+        groups, up = -(-groups // fan_in), {}
+        for p, rows in left.items():
+            up.setdefault(p // fan_in, []).extend(rows)
+        left = {}
+        for p, rows in up.items():
+            rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+            runs = [[r for r in rows if r[0] == s] for s in dict.fromkeys(r[0] for r in rows)] if not last else [rows]
+            for run in runs:
+                got, held = spin([r[1:] for r in run], seed + depth)
+                done |= got
+                if held:
+                    left.setdefault(p, []).append((next(r[0] for r in run if r[1] == held[0]), *held))
+        if last:
+            break
+    for rows in left.values():
+        done |= {d: int(M.uniform(np.array([d]), seed - 1)[0] < m) for _, d, m in rows}
+    return {d: done[d] + int(rate[s]) for d, _, _, s in data}
+
+
+def test_copies_against_a_plain_pivotal_run(spark):
+    data = rows(300, 8)
+    docs = documents(spark, data)
+    part_of = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(7)).alias("p")).collect()}
+    got = {r["doc_id"]: r["copies"] for r in M.copies(docs, parts=7, fan_in=3).collect()}
+    assert got == plain(data, rates(data), 7, 3, M.SEED, part_of)
+
+
+def test_ids_of_another_type_and_columns_of_any_name(spark):
+    docs = documents(spark, rows(60, 9)).withColumns({"doc_id": F.concat(F.lit("d"), "doc_id"), "__id": F.lit("x"), "__n": F.lit("y")})
+    mixed = M.mix_documents(docs)
+    again = M.mix_documents(mixed.withColumn("doc_id", F.concat("doc_id", F.lit("-"), "copy_no")))
+    assert mixed.columns == [*docs.columns, "copy_no"] == again.columns and again.count() > 0
+    n = {r["doc_id"]: r["copies"] for r in M.copies(docs).collect()}
+    assert set(n) == {f"d{i}" for i in range(60)} and mixed.count() == sum(n.values())
+
+
 def test_mixed_rows_are_the_copies(spark):
     docs = documents(spark, rows(200, 6))
     n = {r["doc_id"]: r["copies"] for r in M.copies(docs).collect()}

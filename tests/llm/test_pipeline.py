@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from lexweave.llm import mixing, substring
 
-from .common import documents, text
+from .common import documents, rows_of_all_kinds, text, with_clashes
 from .test_substring import brute
 
 
@@ -45,3 +45,17 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 20
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_with_rows_of_all_kinds(spark, tmp_path):
+    """Every stage answers nulls, empty, very long and repeated texts, repeated ids and clashing columns, and keeps the clean rows."""
+    rng = random.Random(3)
+    docs = with_clashes(documents(spark, rows_of_all_kinds(rng) + [(100 + i, text(rng, 60), "en", "a") for i in range(20)]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text(rng, 30)), (None, "x"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns if k < 4 else set(out.columns) == set(docs.columns)
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} >= ({100 + i for i in range(20)} if k < 4 else set())
+        docs = out if k != 4 else docs
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

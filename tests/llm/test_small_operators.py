@@ -7,9 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import audio, htmltext, langid, license, toxicity, urlfilter
 from lexweave.llm import queries as Q
+from lexweave.llm._text import Words, find_words, stable_hash
 
 from .common import documents, text, with_clashes
 
@@ -53,7 +55,7 @@ def toxic_rows():
             for _ in range(6):
                 w.insert(rng.randrange(len(w)), rng.choice(bad))
         rows.append((i, " ".join(w), "en", "s"))
-        if i % 2 == 0 or i % 5 == 0:
+        if i % 10 < 7:
             labels.append((i, int(toxic)))
     return rows, labels
 
@@ -66,13 +68,43 @@ def test_toxicity_on_held_out_documents(spark):
     lab = spark.createDataFrame([*labels, (0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     flagged = [r["doc_id"] for r in toxicity.flag_toxic(docs, lab).collect()]
     held_out = {i for i, *_ in rows} - {i for i, _ in labels}
-    want = {i for i in range(0, 600, 6)}
+    want = {i for i in range(0, 600, 6)} & held_out
     hit = set(flagged)
-    assert len(hit & want) >= 0.95 * len(want) and len(hit & held_out - want) <= 3 and 903 in hit and not hit & {900, 901, 902}
+    assert len(want) == 20 and len(hit & want) >= 0.95 * len(want) and len(hit & held_out - want) <= 3 and 903 in hit and not hit & {900, 901, 902}
     assert flagged.count(0) == 2
     assert toxicity.flag_toxic(docs, lab.filter("toxic = 0")).count() == 0 and toxicity.flag_toxic(docs.limit(0), lab).count() == 0
 
 
+def test_windows_and_features_against_plain_ones():
+    rng = random.Random(4)
+    texts = [text(rng, n) for n in (3, 8, 9, 13, 40)] + ["", None]
+    w = find_words(pa.array(texts), lower=True)
+    row, feat, owner = toxicity.features(pa.array(texts), 10, 8)
+    got = {}
+    for r, f in zip(row.tolist(), feat.tolist(), strict=True):
+        got.setdefault(r, set()).add(f)
+    parts = [(d, t.split()[i : i + 8]) for d, t in enumerate(texts) if t for n in [len(t.split())] for i in [*range(0, n, 8), *(range(4, n, 8) if n > 8 else [])]]
+    assert owner.tolist() == [d for d, _ in parts]
+    for r, (_, ws) in enumerate(parts):
+        count = Counter()
+        for x in ws:
+            raw = x.encode()
+            count.update([(stable_hash(x)) >> 54] + [find_words(pa.array([raw[:n].decode("utf-8", "replace")])) and int(Words(np.frombuffer(raw[:n], np.uint8), np.array([0]), np.array([n]), np.array([0, 1])).hashes(n)[0]) >> 54 for n in toxicity.PREFIXES if len(raw) > n])
+        assert got[r] == {f * 3 + k for f, c in count.items() for k, least in enumerate((1, 2, 4)) if c >= least}
+    assert w.n_docs == len(texts)
+    some = toxicity.evenly(row, feat, owner, 3)
+    assert np.bincount(some[2], minlength=5).tolist() == [1, 1, 3, 3, 3] and set(some[0].tolist()) <= set(range(len(some[2])))
+
+
+def test_toxicity_with_other_ids_and_labels(spark):
+    rows, labels = toxic_rows()
+    docs = with_clashes(documents(spark, rows)).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    lab = spark.createDataFrame([(f"d{i}", t) for i, t in labels] + [("d1", 7), ("nobody", 1)], "doc_id string, toxic int")
+    got = {r["doc_id"] for r in toxicity.flag_toxic(docs, lab).collect()}
+    assert len(got & {f"d{i}" for i in range(0, 600, 6)}) >= 95 and len(got) <= 105
+    assert toxicity.flag_toxic(docs, lab.filter("toxic > 1")).count() == 0
+
+
 def test_risk_gradient_is_the_derivative():
     rng = np.random.default_rng(1)
     for shift in (0.0, -4.0):  # the second has a negative part below zero
