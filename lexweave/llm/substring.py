@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from ._spark import discard, free_name, partitions, written
 from ._text import NONSPACE, find_words, mix, prefix_hash, slices, span_hash
 
-BLOCK, MIN_WORDS, BATCH = 25, 50, 8 << 20
+BLOCK, MIN_WORDS, BATCH = 25, 50, 4 << 20
 LOW40 = np.uint64((1 << 40) - 1)
 SECOND = np.uint64(0x1F83D9ABFB41BD6B)
 
@@ -101,9 +101,12 @@ def _emit(parts: int, block: int):
             bucket = (h >> np.uint64(40)).astype(np.int64) % parts
             ids = b.column("doc_id").to_numpy()
             cuts = np.flatnonzero(pos % block == 0)
-            around = np.zeros((len(doc), 2), np.uint64)  # the words beside a block, and the second hash of its own
-            around[cuts, 0] = beside(g, inv, start[cuts], block, w.off[doc[cuts]], w.off[doc[cuts] + 1])
-            around[cuts, 1] = span_hash(*prefix_hash(mix(w.hashes() ^ SECOND)), start[cuts], start[cuts] + block)
+            # of a block: the hash of the words beside it, and the second hash of its own
+            around = np.empty((len(cuts), 2), np.uint64)
+            around[:, 0] = beside(g, inv, start[cuts], block, w.off[doc[cuts]], w.off[doc[cuts] + 1])
+            g = prefix_hash(mix(w.hashes() ^ SECOND))[0]
+            around[:, 1] = span_hash(g, inv, start[cuts], start[cuts] + block)
+            del g, inv, start
             rows: list[tuple] = []
             for kind, sel in ((0, cuts), (1, None)):
                 bk = bucket if sel is None else bucket[sel]
@@ -114,7 +117,7 @@ def _emit(parts: int, block: int):
                 for k in np.flatnonzero(np.diff(cut)):
                     i = order[cut[k] : cut[k + 1]]
                     docs, local = np.unique(doc[i], return_inverse=True)
-                    rows.append((int(k), kind, ids[docs].tobytes(), pack(h[i], local, pos[i]), around[i].tobytes() if kind == 0 else b""))
+                    rows.append((int(k), kind, ids[docs].tobytes(), pack(h[i], local, pos[i]), b"" if sel is None else around[np.searchsorted(sel, i)].tobytes()))
                     if len(rows) >= 256:
                         yield _packed(rows)
                         rows = []
@@ -308,8 +311,12 @@ def _first_rows(docs: DataFrame) -> DataFrame:
     return rows if twice.isEmpty() else rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, parts: int | None = None) -> DataFrame:
-    """``doc_id, start_word, end_word, n_words, ref_doc_id, ref_start_word, stretch_start, stretch_end`` of each repeat."""
+def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, parts: int | None = None, maximal: bool = True) -> DataFrame:
+    """``doc_id, start_word, end_word, n_words, ref_doc_id, ref_start_word, stretch_start, stretch_end`` of each repeat.
+
+    The stretches are the same without ``maximal``, since every block of a repeat
+    has a hit of its own; then rows may end where a block has its anchor elsewhere.
+    """
     parts = parts or partitions(docs.sparkSession)
     rows = _first_rows(docs)
     planes, hit = "bucket int, kind int, docs binary, packed binary, around binary", "doc long, pos int, ref long, rpos int"
@@ -330,7 +337,8 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, par
         discard(spans)
         whole.append(grown.filter("not more").drop("more"))
         spans = grown.filter("more").drop("more")
-        if spans.isEmpty():
+        if not maximal or spans.isEmpty():
+            whole.append(spans)
             break
         spans, reach, texts = written(spans), 8 * reach, rows  # few are left: their texts needn't be exchanged
     exact = functools.reduce(DataFrame.unionByName, whole).repartition("doc")
@@ -375,7 +383,7 @@ def cut_repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS,
     """``docs``, with all their columns, without the stretches that repeat earlier text; ``n_chars`` is set anew, and a document of which nothing is left goes."""
     parts = parts or partitions(docs.sparkSession)
     cut_id, cut, first = (free_name(docs, x) for x in ("__id", "__cut", "__first"))
-    cuts = repeats(docs, block, min_words, parts).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("stretch_start").alias("s"), F.col("stretch_end").alias("e"))).alias(cut)).withColumnRenamed("doc_id", cut_id)
+    cuts = repeats(docs, block, min_words, parts, maximal=False).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("stretch_start").alias("s"), F.col("stretch_end").alias("e"))).alias(cut)).withColumnRenamed("doc_id", cut_id)
     same = F.col("doc_id") == F.col(cut_id)
     rows = docs.filter("doc_id is not null and text is not null")
     twice = rows.groupBy("doc_id").count().filter("count > 1")
