@@ -125,6 +125,47 @@ def test_risk_gradient_is_the_derivative():
         assert risk >= 0
 
 
+def test_toxicity_counts_trains_and_cuts_on_everything(spark):
+    """Counts, gradients and the threshold, against plain ones of all windows of all labelled documents; none was so before: 1500 toxic documents, 64 windows."""
+    rng = random.Random(12)
+    rows = [(i, text(rng, rng.randint(5, 60)) + " vileword" * (i % 8 == 0) * rng.randint(1, 5), "en", "s") for i in range(400)]
+    rows += [(1000 + i, f"vileword {i}", "en", "s") for i in range(1700)] + [(3000, "vileword " * 2000, "en", "s"), (0, "another vileword text", "en", "s")]
+    lab = [(i, int(i % 8 == 0)) for i in range(0, 300)] + [(1000 + i, 1) for i in range(1700)] + [(3000, 1), (301, None)]
+    docs, labels = documents(spark, rows), spark.createDataFrame(lab, "doc_id int, toxic int")
+    known, share = toxicity.known_documents(docs, labels)
+    kinds = {r["doc_id"]: r["kind"] for r in known.collect()}
+    toxic = {i for i, t in lab if t == 1}
+    assert {i for i, k in kinds.items() if k == toxicity.POSITIVE} == toxic and len(kinds) == len(lab) and share == pytest.approx(len(toxic) / (len(lab) - 1))
+    texts = [t for i, t, *_ in rows if i in toxic]
+    row, feat, owner = toxicity.features(pa.array(texts), 12, 20)
+    p_count, n_p = toxicity._frequencies(toxicity._texts_of(docs, known.filter("kind = 0").select("doc_id"), "text"), 12, 20)
+    assert len(texts) > 1700 and n_p == len(owner) and (p_count == np.bincount(feat, minlength=3 << 12)).all()
+
+    names = np.flatnonzero(p_count)
+    table = toxicity.window_table(docs, known, "text", names, 12, 20)
+    mine = [(kinds[i], t) for i, t, *_ in rows if i in kinds]
+    row, feat, owner = toxicity.features(pa.array([t for _, t in mine]), 12, 20)
+    hit = np.isin(feat, names)
+    row, feat, kind = row[hit], np.searchsorted(names, feat[hit]), np.array([k for k, _ in mine])[owner]
+    w, b = np.random.default_rng(1).random((toxicity.FOLDS + 1, len(names))) / 20, np.linspace(-1.5, -0.5, toxicity.FOLDS + 1)
+    total = sum(toxicity.sums(*toxicity.unpack(x), w, b) for x in table.toArrow().to_batches()) / toxicity.UNIT
+    n_u = np.array([np.sum((kind != 0) & (kind != toxicity.CLEAN + j)) for j in range(len(w))])
+    got, got_b = toxicity.gradient(total, p_count[names], share, n_p, n_u)
+    for j in range(len(w)):
+        z = np.bincount(row, w[j][feat], minlength=len(kind)) + b[j]
+        pos, rest = kind == 0, (kind != 0) & (kind != toxicity.CLEAN + j)
+        part = np.logaddexp(0, z[rest]).mean() - share * np.logaddexp(0, z[pos]).mean()
+        s, q = 1 / (1 + np.exp(-z)), toxicity.pull(part)
+        g = np.where(pos, share / n_p * (s - 1 - q * s), 0) + np.where(rest, q * s / n_u[j], 0)
+        assert np.allclose(got[j], np.bincount(feat, g[row], minlength=len(names)), atol=1e-4) and got_b[j] == pytest.approx(g.sum(), abs=1e-4)
+
+    values = np.concatenate([np.random.default_rng(2).standard_normal(5000), [0.0, -0.0, -np.inf, 1e300, -1e-300], np.full(40, 2.5)])
+    keys = spark.createDataFrame([(int(k),) for k in toxicity.ordered(values)], "key long")
+    for most in (0.002, 0.3):
+        assert toxicity.cutoff(keys, most) == np.quantile(values, 1 - most, method="higher")
+    assert toxicity.cutoff(keys.limit(0), 0.1) == 0 and toxicity.cutoff(keys, 0.9) == 0
+
+
 # URL filters
 def test_urls_against_brute_force(spark):
     rng = random.Random(3)
