@@ -181,7 +181,7 @@ def sparse(items: Items, w: Words, passage: int, h: np.ndarray | None = None) ->
     return pairs // items.n_terms, pairs % items.n_terms, count, first, owner
 
 
-COMMON, CHUNK_ROWS = 64, 2048
+COMMON, CHUNK_ROWS, LONG = 64, 2048, 24
 
 
 def terms_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -195,6 +195,13 @@ def halves_of(w: Words, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return first, owner, np.append(w.off[owner] + (np.arange(len(owner)) - first[owner]) * (passage // 2), len(w.start))
 
 
+def distinct(term: np.ndarray, place: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Different ``term * n + place``, sorted; ``place`` is sorted, so a stable sort by terms alone (by radix, up to 16 bits) does."""
+    order = np.argsort(term.astype(np.uint16) if bits <= 16 else term, kind="stable")
+    keys = term[order] * n + place[order]
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 def passage_frequencies(w: Words, passage: int, bits: int) -> tuple[np.ndarray, int]:
     """In how many passages of these texts each term stands, and how many passages there are."""
     first, owner, start = halves_of(w, passage)
@@ -202,7 +209,7 @@ def passage_frequencies(w: Words, passage: int, bits: int) -> tuple[np.ndarray,
         return np.zeros(2**bits, np.int64), 0
     n = len(owner) + w.n_docs + 1
     half = np.repeat(np.arange(len(owner)), np.diff(start))
-    keys = np.unique(terms_of(w.hashes(), bits) * n + half + owner[half])  # with a gap between documents
+    keys = distinct(terms_of(w.hashes(), bits), half + owner[half], n, bits)  # with a gap between documents
     term, half = keys // n, keys % n
     # a term of a half is in the passage that begins with it, and in the one before; the last half begins none unless it is alone
     place = np.arange(len(owner)) + owner
@@ -238,11 +245,33 @@ def half_sums(term: np.ndarray, start: np.ndarray, m: np.ndarray) -> np.ndarray:
     at = 0
     while at < len(out):
         stop = max(at + 1, int(np.searchsorted(start, start[at] + BLOCK, side="right")) - 1)
-        out[at:stop] = np.add.reduceat(m[term[start[at] : start[stop]]], start[at:stop] - start[at], axis=0)
+        size = np.diff(start[at : stop + 1])
+        whole = np.flatnonzero(size == size.max())  # all but the last of each text, as a rule: these are products with ones
+        words = start[at + whole][:, None] + np.arange(size.max())
+        out[at + whole] = np.matmul(np.ones((1, size.max()), np.float32), m[term[words]])[:, 0]
+        rest = np.flatnonzero(size < size.max())
+        if len(rest):
+            n = size[rest]
+            begin = np.cumsum(n) - n
+            words = np.repeat(start[at + rest] - begin, n) + np.arange(n.sum())
+            out[at + rest] = np.add.reduceat(m[term[words]], begin, axis=0)
         at = stop
     return out
 
 
+def run_sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """As ``np.add.reduceat(x, cut, axis=0)``: the first rows of all runs, then the second ones, and so on; the few long runs one by one."""
+    size = np.diff(np.append(cut, len(x)))
+    out, k, more = x[cut], 1, np.flatnonzero(size > 1)
+    while len(more) >= LONG:
+        out[more] += x[cut[more] + k]
+        k += 1
+        more = more[size[more] > k]
+    for i in more.tolist():
+        out[i] += x[cut[i] + k : cut[i] + size[i]].sum(axis=0)
+    return out
+
+
 def product(w: Words, passage: int, weighted: np.ndarray, total: np.ndarray) -> None:
     """Adds H'S'(S H ``weighted``) to ``total``, with H the halves' term counts and S the sum of a half and the next, so that S H has a row a passage."""
     bits = len(weighted).bit_length() - 1
@@ -266,7 +295,7 @@ def product(w: Words, passage: int, weighted: np.ndarray, total: np.ndarray) ->
         half = np.repeat(np.arange(at, stop), np.diff(start[at : stop + 1]))[order]
         mine = mine[order]
         cut = np.flatnonzero(np.diff(mine, prepend=-1))
-        total[mine[cut]] += np.add.reduceat(z[half], cut, axis=0)
+        total[mine[cut]] += run_sums(z[half], cut)
         at = stop
 
 

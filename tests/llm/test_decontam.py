@@ -46,6 +46,20 @@ def test_products_and_frequencies_against_the_matrix_of_passages():
     assert np.allclose(total, a.T @ (a @ m), atol=1e-2)
 
 
+def test_sums_without_sorting_and_reduceat_are_the_same():
+    rng = np.random.default_rng(7)
+    place, term = np.sort(rng.integers(0, 500, 4000)), rng.integers(0, 64, 4000) ** 2 // 64
+    for bits in (6, 20):
+        assert (D.distinct(term, place, 501, bits) == np.unique(term * 501 + place)).all()
+    assert len(D.distinct(term[:0], place[:0], 501, 6)) == 0
+    m = rng.standard_normal((64, 5)).astype(np.float32)
+    for size in ([32] * 50 + [3, 32, 1], [1], [7, 7], [1] * 40 + [900]):
+        start = np.concatenate([[0], np.cumsum(size)])
+        rows = m[term[: start[-1]]]
+        want = np.add.reduceat(rows.astype(float), start[:-1], axis=0)
+        assert np.allclose(D.half_sums(term, start, m), want, atol=1e-3) and np.allclose(D.run_sums(rows, start[:-1]), want, atol=1e-3)
+
+
 def test_singular_vectors_against_svd():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((300, 8)) @ rng.standard_normal((8, 50))
