@@ -80,6 +80,12 @@ class Corpus:
             plain = F.array_join(T.split_tokens(plain), " ")
         return self.df.withColumn("__text", plain)
 
+    def joined(self) -> DataFrame:
+        """All columns, and ``__text``: the tokens that :meth:`with_tokens` gives, joined by blanks."""
+        if self.preprocess:
+            return self.prepared()
+        return self.df.withColumn("__text", F.array_join(self.token_column(), " "))
+
     def tokens(self) -> DataFrame:
         """``doc_id, pos, token``, positions from 0."""
         return self.with_tokens("__toks").select(self.doc_id, F.posexplode("__toks").alias("pos", "token"))

@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 STEP_BYTES = 4 << 20
 
 
-def batches_of(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about STEP_BYTES of text, one row at least."""
+def batches_of(batches: Iterable[pa.RecordBatch], text: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``step`` bytes of text, one row at least."""
     for b in batches:
         size = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
             base = size[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(size, base + STEP_BYTES, side="right")))
+            stop = max(at + 1, int(np.searchsorted(size, base + step, side="right")))
             yield b.slice(at, stop - at)
             at = stop
 

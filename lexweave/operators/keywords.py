@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..corpus import Corpus
 from ..functions.text import for_stopwords, stopwords
 from ..session import written
+from .pairs import blocks, both_ways
 from .stats import frequencies
 
 METHODS = ("tfidf", "textrank", "rake")
@@ -48,21 +49,10 @@ def tfidf(corpus: Corpus, num_keywords: int | None = 50, min_doc_freq: int = 3,
     return _best(kept.select(F.col("Token").alias("Keyword"), score.alias("TFIDF"), F.col("DocFrequency").alias("DocFreq"), (df / F.col("__d")).alias("DocFreqRatio")), "TFIDF", num_keywords)
 
 
-def _kept(tokens: Column, words: list[str], language: str | None) -> Column:
-    if not words:
-        return tokens
-    listed = F.array(*map(F.lit, words))
-    return F.filter(tokens, lambda t: ~F.array_contains(listed, F.lower(t)))
-
-
 def word_pairs(corpus: Corpus, window: int = 5, language: str | None = None, stop: Sequence[str] | None = None) -> DataFrame:
     """``x, y, n``: the weight of each pair of words within ``window`` of each other once stopwords are out, both ways; a word paired with itself counts double."""
     words = _stop(language, stop)
-    toks = corpus.with_tokens("__all").select(_kept(F.col("__all"), words, language).alias("t"))
-    pair = "flatten(transform(sequence(1, {w}), s -> transform(slice(t, 1, greatest(size(t) - s, 0)), (a, i) -> struct(least(a, t[i + s]) as x, greatest(a, t[i + s]) as y))))"
-    pairs = toks.filter(F.size("t") > 1).select(F.explode(F.expr(pair.format(w=int(window)))).alias("p")).groupBy("p.x", "p.y").agg((2 * F.count("*")).alias("n"))
-    back = pairs.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "n")
-    return pairs.select("x", "y", F.when(F.col("x") == F.col("y"), 2 * F.col("n")).otherwise(F.col("n")).alias("n")).unionByName(back)
+    return blocks(corpus.joined(), window, False, words).mapInArrow(both_ways, "x string, y string, n long")
 
 
 def textrank(corpus: Corpus, num_keywords: int | None = 50, language: str | None = None, stop: Sequence[str] | None = None, window: int = 5, damping: float = 0.85, most: int = 100, close: float = 1e-4) -> DataFrame:

@@ -84,6 +84,21 @@ def test_pairs_of_a_word_with_itself(spark):
     assert got == {("a", "a"): 4, ("a", "b"): 4, ("b", "a"): 4}
 
 
+def test_pairs_travel_in_blocks(spark):
+    texts = ["a the b c a d e f g a", "The b b a", "", None, "x"]
+    df = keywords.word_pairs(Corpus.from_texts(spark, texts), 3, stop=["the"])
+    want = {}
+    for t in texts:
+        w = [x for x in (t or "").lower().split() if x != "the"]
+        for i in range(len(w)):
+            for j in range(max(0, i - 3), min(len(w), i + 4)):
+                if i != j:
+                    want[w[i], w[j]] = want.get((w[i], w[j]), 0) + 2
+    assert {(r["x"], r["y"]): r["n"] for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan  # no row a pair before the pairs are summed
+
+
 def test_kwic(spark):
     c = Corpus.from_texts(spark, ["a b a b c", "b a b"])
     k = kwic.kwic(c, "A b", 1, 2)
