@@ -1,4 +1,4 @@
-"""Aggregates that Spark's own don't give for every input."""
+"""Aggregates that Spark's own don't give for every input, and rounding."""
 
 from __future__ import annotations
 
@@ -11,3 +11,9 @@ def correlation(x: str, y: str) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def tidy(x: Column) -> Column:
+    """Rounded to about nine digits, in steps that other engines do alike."""
+    r = lambda s: F.floor(x * s + 0.5).cast("double") / s
+    return F.when(F.abs(x) < 1e3, r(1e6)).when(F.abs(x) < 1e9, r(1e3)).when(F.abs(x) < 1e15, F.floor(x / 1e3 + 0.5).cast("double") * 1e3).otherwise(x)

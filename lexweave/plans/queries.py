@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions import text as T
+from ..functions.agg import tidy
 from ..functions.metrics import available_metrics
 from ..functions.text import TextNorm
 from ..operators import compare, gravity, keywords, kwic, network, recipes, stats, subcorpus, temporal
@@ -24,12 +25,6 @@ STOP = ["the", "of", "and", "to", "in", "a", "is", "de", "la", "und"]
 YEAR = "(2015 + doc_id % 10)::INT"
 
 
-def tidy(x: Column) -> Column:
-    """Rounded to about nine digits, in steps that other engines do alike."""
-    r = lambda s: F.floor(x * s + 0.5).cast("double") / s
-    return F.when(F.abs(x) < 1e3, r(1e6)).when(F.abs(x) < 1e9, r(1e3)).when(F.abs(x) < 1e15, F.floor(x / 1e3 + 0.5).cast("double") * 1e3).otherwise(x)
-
-
 def tidied(df: DataFrame) -> DataFrame:
     return df.select(*[tidy(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 

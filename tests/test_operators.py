@@ -163,6 +163,14 @@ def test_network(corpus):
             network.colloc_graph(corpus, ["innovation"], **bad)
 
 
+def test_rounding_does_not_rank_neighbours(spark):
+    times = {"j": 1, "i": 2, "h": 4, "g": 8, "f": 3, "e": 5, "d": 6, "c": 7, "b": 9, "a": 11}  # all score 14, but for the last bits of log2
+    c = Corpus.from_texts(spark, [f"x {w}" for w, n in times.items() for _ in range(n)])
+    for n in (1, 3, 5):
+        g = network.colloc_graph(c, ["x"], "LogDice", 1, max_neighbors=n, minfreq=1)
+        assert sorted(r["Target"] for r in g.edges.collect()) == sorted(times)[:n]
+
+
 def test_betweenness_of_a_path(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "Source string, Target string")
     got = {r["Node"]: r for r in network.centralities(edges, ["a", "b", "c"], ["betweenness", "harmonic"], "undirected").collect()}
