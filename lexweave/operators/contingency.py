@@ -49,6 +49,7 @@ class Contingency:
     minfreq: int
     by: list[str]
     prepared: DataFrame | None = None
+    pruned: DataFrame | None = None
 
     @classmethod
     def count(cls, prepared: DataFrame, nodes: Sequence[str], windowsize: int, minfreq: int, by: Iterable[str] = (), pruned: DataFrame | None = None) -> Contingency:
@@ -58,7 +59,7 @@ class Contingency:
         counts = _counts(prepared if pruned is None else pruned, nodes, windowsize, 1, by, False)
         keys = [*by, "Node", "Collocate"]
         total = counts.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("a", "b", "c", "d", "DocFrequency")]).filter(F.col("a") >= minfreq)
-        return cls(with_margins(total), nodes, windowsize, minfreq, by, prepared)
+        return cls(with_margins(total), nodes, windowsize, minfreq, by, prepared, pruned)
 
     @classmethod
     def per_document(cls, prepared: DataFrame, nodes: Sequence[str], windowsize: int, minfreq: int, doc_id: str) -> Contingency:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import log2_safe, log_safe
 from .contingency import Contingency
 from .kernel import Tokens, batches_of, counted, groups_of, looked_up, spans, starts_of
+from .pairs import blocks, kinds
 
 FORMULAS = ("original", "simplified", "pmi_weighted")
 
@@ -83,6 +84,22 @@ class Before:
             yield pa.RecordBatch.from_arrays([*cols, t.words.take(pa.array(word % v)).cast(pa.string()), prev, pa.array(n)], [*self.by, "Collocate", "prev", "n"])
 
 
+class Occurs:
+    """Rows ``by``, Collocate, n: how often each word occurs in a batch."""
+
+    def __init__(self, by: list[str]):
+        self.by = by
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, "__text"):
+            t = Tokens(b.column("__text"))
+            group, firsts = groups_of(b, self.by)
+            v = max(t.n_words, 1)
+            key, n = counted(np.repeat(group, np.diff(t.off)) * v + t.codes)
+            cols = [b.column(x).take(pa.array(firsts[key // v])) for x in self.by]
+            yield pa.RecordBatch.from_arrays([*cols, t.words.take(pa.array(key % v)).cast(pa.string()), pa.array(n)], [*self.by, "Collocate", "n"])
+
+
 def _types(df: DataFrame, by: list[str]) -> str:
     return "".join(f"`{x}` {df.schema[x].dataType.simpleString()}, " for x in by)
 
@@ -90,7 +107,8 @@ def _types(df: DataFrame, by: list[str]) -> str:
 def _links(table: Contingency) -> DataFrame:
     if table.prepared is None:
         raise ValueError("this measure needs the tokens of the corpus")
-    rows = table.prepared.select(*table.by, "__text").mapInArrow(Links(table.nodes, table.windowsize, table.by), f"{_types(table.prepared, table.by)}Node string, Collocate string, n_right long, n_left long, n_left_pos long")
+    held = table.prepared if table.pruned is None else table.pruned
+    rows = held.select(*table.by, "__text").mapInArrow(Links(table.nodes, table.windowsize, table.by), f"{_types(table.prepared, table.by)}Node string, Collocate string, n_right long, n_left long, n_left_pos long")
     total = rows.groupBy(*table.keys).agg(*[F.sum(x).alias(x) for x in ("n_right", "n_left", "n_left_pos")])
     node = Window.partitionBy(*table.by, "Node")
     of_node = F.max(F.when(F.col("Collocate").isNull(), F.col("n_right"))).over(node)
@@ -99,11 +117,20 @@ def _links(table: Contingency) -> DataFrame:
 
 
 def _before(table: Contingency) -> DataFrame:
+    """``by``, Collocate, f_coll, types_before (different words before it)."""
+    if not table.by:
+        found = blocks(table.prepared, table.windowsize, True).mapInArrow(kinds, "x string, n long, f long")
+        return found.groupBy(F.col("x").alias("Collocate")).agg(F.sum("f").alias("f_coll"), F.sum("n").alias("types_before"))
     rows = table.prepared.select(*table.by, "__text").mapInArrow(Before(table.windowsize, table.by), f"{_types(table.prepared, table.by)}Collocate string, prev string, n long")
     wanted = table.df.select(*table.by, "Collocate").distinct()
     return rows.join(wanted, [*table.by, "Collocate"], "left_semi").groupBy(*table.by, "Collocate").agg(F.sum("n").alias("f_coll"), F.count_distinct("prev").alias("types_before"))
 
 
+def _occurrences(table: Contingency) -> DataFrame:
+    """``by``, Collocate, f_coll."""
+    rows = table.prepared.select(*table.by, "__text").mapInArrow(Occurs(table.by), f"{_types(table.prepared, table.by)}Collocate string, n long")
+    return rows.groupBy(*table.by, "Collocate").agg(F.sum("n").alias("f_coll"))
+
 
 def lexical_gravity(table: Contingency, formula: str = "original") -> DataFrame:
     """``by``, Node, Collocate, LexicalGravity; windows end with the document.
@@ -113,16 +140,17 @@ def lexical_gravity(table: Contingency, formula: str = "original") -> DataFrame:
     if formula not in FORMULAS:
         raise ValueError(f"formula must be one of {FORMULAS}: {formula!r}")
     keys = table.keys
-    rows = table.df.select(*keys, "a").join(_links(table), keys, "left").join(_before(table), [*table.by, "Collocate"], "left")
-    x = {c: F.col(c).cast("double") for c in ("a", "n_right", "n_left_pos", "f_node", "types_right", "f_coll", "types_before")}
+    rows = table.df.select(*keys, "a").join(_links(table), keys, "left")
+    occurs = _before(table) if formula == "original" else _occurrences(table)
+    rows = rows.join(occurs, [*table.by, "Collocate"], "left")
+    x = {c: F.col(c).cast("double") for c in ("a", "n_right", "n_left_pos", "f_node", "types_right", "f_coll", "types_before") if c in rows.columns}
     if formula == "original":
         some = (F.col("n_right") > 0) & (F.col("n_left_pos") > 0) & (F.col("types_right") > 0) & (F.col("types_before") > 0)
         score = F.when(some, F.log(x["n_right"] * x["types_right"] / x["f_node"]) + F.log(x["n_left_pos"] * x["types_before"] / x["f_coll"])).otherwise(F.lit(float("-inf")))
     elif formula == "simplified":
         score = 2.0 * log2_safe(x["a"]) + log2_safe(F.lit(2.0 * table.windowsize)) - log2_safe(x["f_node"]) - log2_safe(x["f_coll"])
     else:
-        n = F.size(F.filter(F.split("__text", " "), lambda t: t != "")).cast("long")
-        total = table.prepared.groupBy(*table.by).agg(F.sum(n).cast("double").alias("__total"))
+        total = occurs.groupBy(*table.by).agg(F.sum("f_coll").cast("double").alias("__total"))
         rows = rows.join(total, table.by) if table.by else rows.crossJoin(total)
         score = x["a"] * log_safe(x["a"] * F.col("__total") / (x["f_node"] * x["f_coll"]))
     return rows.select(*keys, score.alias("LexicalGravity"))

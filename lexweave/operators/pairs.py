@@ -45,7 +45,7 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Blocks:
     """``mapInArrow`` function: texts to blocks of pairs x, y within ``window`` of each other.
 
-    ``ordered``: y stands before x, and ``times`` is 1.  Else x is y or comes before it in order of
+    ``ordered``: y stands before x, and ``times`` is 1; with an empty y, ``times`` is how often x occurs.  Else x is y or comes before it in order of
     the alphabet, and ``times`` is how often they stand so.  Words of ``stop`` are taken out first.
     """
 
@@ -69,26 +69,32 @@ class Blocks:
         if self.stop:
             keep = ~np.fromiter((w.lower() in self.stop for w in plain), bool, v)[code]
             code, doc = code[keep], doc[keep]
+        if self.ordered:  # the empty word comes first
+            plain, words, code, v = ["", *plain], pa.concat_arrays([pa.array([""], pa.string()), words]), code + 1, v + 1
         keys = [np.zeros(0, np.int64)]
         for s in range(1, self.window + 1):
             same = doc[s:] == doc[:-s]
             before, after = code[:-s][same], code[s:][same]
             keys.append(np.unique(after * v + before) if self.ordered else np.minimum(before, after) * v + np.maximum(before, after))
         key = np.concatenate(keys)
-        if not len(key):
+        occur = np.bincount(code, minlength=v)[1:].astype(np.int32) if self.ordered else np.zeros(0, np.int32)
+        if not len(key) and not len(occur):
             return
         del keys, code, doc
         key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         times = np.ones(len(first), np.int32) if self.ordered else np.diff(np.append(first, len(key))).astype(np.int32)
         key = key[first]
         del first
+        if self.ordered:
+            key, times = np.concatenate([key, np.arange(1, v) * v]), np.concatenate([times, occur])
         x, y = (key // v).astype(np.int32), (key % v).astype(np.int32)
         del key
         group = np.fromiter((zlib.crc32(w.encode()) % self.groups for w in plain), np.int32, v)
-        low, high = np.minimum(group[x], group[y]), np.maximum(group[x], group[y])
+        other = group[np.where(y > 0, y, x)] if self.ordered else group[y]
+        low, high = np.minimum(group[x], other), np.maximum(group[x], other)
         block = high * (high + 1) // 2 + low
-        del low, high
+        del low, high, other
         at = np.argsort(block.astype(np.uint16) if self.groups < 256 else block, kind="stable").astype(np.int32)
         ends = np.cumsum(np.bincount(block))
         rows: list[tuple] = []
@@ -140,10 +146,14 @@ def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ordered blocks to rows x, n: how many different y of the block go with x."""
-    for _, words, x, _, _ in merged(batches):
-        own, n = np.unique(x, return_counts=True)
-        yield pa.RecordBatch.from_arrays([words.take(pa.array(own)).cast(pa.string()), pa.array(n)], ["x", "n"])
+    """Ordered blocks to rows x, n, f: how many different y of the block go with x, and, in one of its blocks, how often x occurs."""
+    for _, words, x, y, times in merged(batches):
+        v = len(words)
+        none = y == pc.index_in(pa.array([""], words.type), words)[0].as_py()
+        n, f = np.bincount(x[~none], minlength=v), np.zeros(v, np.int64)
+        f[x[none]] = times[none]
+        own = np.flatnonzero(n + f)
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(own)).cast(pa.string()), pa.array(n[own]), pa.array(f[own])], ["x", "n", "f"])
 
 
 def blocks(texts: DataFrame, window: int, ordered: bool, stop: Iterable[str] = ()) -> DataFrame:

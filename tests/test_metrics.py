@@ -78,7 +78,7 @@ def test_custom_metric(table):
 
 def test_gravity_by_hand(spark):
     from lexweave.corpus import Corpus
-    from lexweave.operators.gravity import directional, gravity_analysis, lexical_gravity
+    from lexweave.operators.gravity import FORMULAS, directional, gravity_analysis, lexical_gravity
 
     toks = "x n y x z n x y".split()
     t = Corpus.from_text(spark, " ".join(toks)).contingency("n", 2, 1)
@@ -91,3 +91,9 @@ def test_gravity_by_hand(spark):
     assert gravity_analysis(t).count() == t.df.count()
     with pytest.raises(ValueError):
         lexical_gravity(t, "other")
+    plans = {f: lexical_gravity(t, f)._jdf.queryExecution().executedPlan().toString() for f in FORMULAS}
+    assert not any("prev#" in p for p in plans.values())  # no row for each pair of a word and one before it
+    by = Corpus.from_texts(spark, [" ".join(toks), "n x", "x n y"], metadata={"g": ["a", "b", "b"]})
+    for f in FORMULAS:  # with groups and without
+        one = {r["Collocate"]: r["LexicalGravity"] for r in lexical_gravity(t, f).collect()}
+        assert {r["Collocate"]: r["LexicalGravity"] for r in lexical_gravity(by.contingency("n", 2, 1, ["g"]), f).collect() if r["g"] == "a"} == pytest.approx(one)
