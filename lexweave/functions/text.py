@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,12 @@ class TextNorm:
 
 
 def _each(text: Column, change) -> Column:
-    """``change`` for each text that isn't plain ASCII, in Arrow batches."""
+    """``change`` for each text that isn't plain ASCII, in Arrow batches, of which a few rows at a time are Python strings."""
 
     @F.arrow_udf("string")
     def run(t: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or x.isascii() else change(x) for x in t.to_pylist()], pa.string())
+        parts = [pa.array([x if x is None or x.isascii() else change(x) for x in t.slice(i, ROWS).to_pylist()], pa.string()) for i in range(0, len(t), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return run(text)
 

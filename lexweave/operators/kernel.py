@@ -8,25 +8,41 @@ sums travel.  The kernel needs no state, so it serves batch and stream alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def batches_of(batches: Iterable[pa.RecordBatch], text: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``step`` bytes of text, one row at least."""
+    """The same rows in batches of about ``step`` bytes of text, one row at least.
+
+    What a batch needed goes back to the system before the next one, so that a
+    worker holds no more than one batch takes, however many it works off.
+    """
+    keep_little()
     for b in batches:
         size = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
+        at, n = 0, b.num_rows
+        while at < n:
             base = size[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(size, base + step, side="right")))
             yield b.slice(at, stop - at)
             at = stop
+            pa.default_memory_pool().release_unused()
+        del b, size  # before the next one is read
+
+
+def keep_little() -> None:
+    """Let glibc map arrays from a megabyte on one by one, so that they are given back once they are free; elsewhere nothing."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+    except (AttributeError, OSError):
+        pass
 
 
 class Tokens:

@@ -18,6 +18,7 @@ from .pairs import blocks, both_ways
 from .stats import frequencies
 
 METHODS = ("tfidf", "textrank", "rake")
+BLOCK_BYTES = 4 << 20
 
 
 def keyterms(corpus: Corpus, method: str = "tfidf", num_keywords: int | None = 50, min_doc_freq: int = 3, max_doc_freq_ratio: float = 0.5, language: str | None = None, stop: Sequence[str] | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
-    for b in batches_of(batches, "p"):
+    for b in batches_of(batches, "p", BLOCK_BYTES):
         lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c)) for c in ("p", "n", "d")]
         yield pa.RecordBatch.from_arrays([pa.array([block]), *lists], ["block", "p", "n", "d"])
         block += 1

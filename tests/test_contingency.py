@@ -88,3 +88,14 @@ def test_node_and_text_share_the_normalisation(spark):
     c = Corpus.from_texts(spark, ["Café—NAÏVE, café!! résumé"])
     assert {r["Collocate"] for r in c.contingency("CAFÉ", 2, 1).df.collect()} == {"naïve", "café", "résumé"}
     assert c.node_present("Naïve") and not c.node_present("cafe")
+
+
+def test_a_worker_counts_a_megabyte_at_a_time():
+    import pyarrow as pa
+
+    from lexweave.operators.kernel import batches_of
+
+    text = pa.array(["a " * 1000] * 5000 + ["b " * 2_000_000, None, ""])
+    got = list(batches_of([pa.RecordBatch.from_arrays([text], ["__text"])], "__text"))
+    assert pa.concat_arrays([b.column(0) for b in got]).equals(text)
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(0).to_pylist()) <= 1 << 20 for b in got)
